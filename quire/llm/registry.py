@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import sharding
+from quire.llm import sharding, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_token_files": token_files.op1_token_files,
         "op6_shards": sharding.op6_shards,
     }
 
