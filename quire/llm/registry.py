@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import sharding, token_files
+from quire.llm import sharding, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op6_shards": sharding.op6_shards,
     }
 
