@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import sharding, token_counts, token_files
+from quire.llm import decontamination, sharding, token_counts, token_files
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         "op1_token_files": token_files.op1_token_files,
         "op3_token_counts": token_counts.op3_token_counts,
         "op6_shards": sharding.op6_shards,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_decontamination": decontamination.ORACLE_SQL,
+    }
