@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import decontamination, sharding, token_counts, token_files
+from quire.llm import decontamination, sharding, token_counts, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_shards": sharding.op6_shards,
         "op10_decontamination": decontamination.op10_decontamination,
     }
