@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import decontamination, sharding, token_counts, token_files, toxicity
+from quire.llm import decontamination, quality, sharding, token_counts, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op2_quality": quality.op2_quality,
         "op3_token_counts": token_counts.op3_token_counts,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_shards": sharding.op6_shards,
