@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontamination, quality, sharding, token_counts, token_files, toxicity
+from quire.llm import decontamination, pieces, quality, sharding, token_counts, token_files, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_files": token_files.op1_token_files,
         "op2_quality": quality.op2_quality,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_pieces": pieces.op4_pieces,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_shards": sharding.op6_shards,
         "op10_decontamination": decontamination.op10_decontamination,
