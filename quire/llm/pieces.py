@@ -26,6 +26,8 @@ from quire.llm.common import Memo, coded, mix, pick, ragged, raw, steps, tokeniz
 
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 SPACE_MARK = "▁"
+#: No candidate. Units longer than LONG characters are worked on alone.
+NONE, LONG = (1 << 31) - 1, 40
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -60,6 +62,7 @@ class Pieces:
         self.spelled_n = np.array([len(s) for s in spelled], np.int64)
         self.spelled_at = np.cumsum(self.spelled_n) - self.spelled_n
         self.below, self.seed = round(dropout * 2**16), seed
+        self._pairs()
         self.memo = Memo(self._units, np.int32, most=900_000)
 
     def unit(self, text: str, key: int) -> list[int]:
@@ -84,7 +87,7 @@ class Pieces:
             found = score.get(made)
             if not found or found[0] != entry >> 24:
                 continue  # one of the two has been merged otherwise meanwhile
-            if below and ((key + i * 0x9E3779B1 ^ found[1] * 0x85EBCA6B) * 0x2C1B3C6D >> 7) & 0xFFFF < below:
+            if below and (((key + i * 0x1E3779B1 ^ found[1] * 0x5EBCA6B) & 0x7FFFFFFF) * 0x2C1B3C6D >> 15) & 0xFFFF < below:
                 continue
             symbols[i], symbols[j] = made, ""
             k = after[i] = after[j]
@@ -108,10 +111,105 @@ class Pieces:
                     out += [self.bytes[x] for x in s.lstrip("\0" if s != "\0" else "").encode()]
         return out
 
+    def _pairs(self) -> None:
+        """Tables for many units at once: symbols are piece ids, and ids from n on for characters without a piece."""
+        n = len(self.spelled_n)
+        self.letter = np.full(0x110000, -1, np.int32)  # code point -> symbol
+        self.known = n  # symbols so far
+        self.out_n, self.out_at, self.out = np.ones(n, np.int64), np.arange(n), np.arange(n)
+        for p, (_, i) in self.score.items():
+            if len(p) == 1 and p != SPACE_MARK:
+                self.letter[ord(p)] = i
+        self.letter[32] = self.score[SPACE_MARK][1]
+        self._learn({ord(c) for p in self.score for c in p if c != SPACE_MARK and self.letter[ord(c)] < 0} | {0x2581})
+        symbol = {p: i for p, (_, i) in self.score.items()}
+        of = lambda t: symbol.get(t, int(self.letter[ord(t)]) if len(t) == 1 else -1)
+        found = [(of(p[:k]) << 32 | of(p[k:]), order, i) for p, (order, i) in self.score.items() for k in range(1, len(p)) if of(p[:k]) >= 0 and of(p[k:]) >= 0]
+        found.sort()
+        self.pair, self.pair_order, self.pair_made = (np.array([f[k] for f in found], np.int64) for k in range(3))
+
+    def _learn(self, points) -> None:
+        points = sorted(points)
+        spelled = [[self.bytes[x] for x in chr(c).encode()] for c in points]
+        self.letter[points] = np.arange(self.known, self.known + len(points))
+        self.known += len(points)
+        self.out_at = np.append(self.out_at, len(self.out) + np.cumsum([0, *map(len, spelled)])[:-1].astype(np.int64))
+        self.out_n = np.append(self.out_n, np.array([len(x) for x in spelled], np.int64))
+        self.out = np.append(self.out, np.array([i for x in spelled for i in x], np.int64))
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order (NONE: no such piece) and id of the piece that left and right make."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.pair_order[at], NONE), self.pair_made[at]
+
+    def many(self, texts: list[str], length: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """unit() for many units of equal length, all of them a step at a time: each takes the best entry of its own agenda."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        if (self.letter[points] < 0).any():
+            self._learn(set(points[self.letter[points] < 0].tolist()))
+        rows = len(texts)
+        symbol = np.full((rows, length + 1), NONE, np.int64)  # the last column stands for the end
+        symbol[:, :-1] = self.letter[points].reshape(rows, length)
+        after = np.tile(np.arange(1, length + 2), (rows, 1))
+        before = np.tile(np.arange(-1, length), (rows, 1))
+        order, made = np.full((rows, length), NONE, np.int64), np.zeros((rows, length), np.int64)
+        if length > 1:
+            order[:, :-1], made[:, :-1] = self._look(symbol[:, :-2], symbol[:, 1:-1])
+        going = np.arange(rows)
+        while True:
+            i = order[going].argmin(axis=1)
+            some = order[going, i] < NONE
+            going, i = going[some], i[some]
+            if not len(going):
+                break
+            piece = made[going, i]
+            order[going, i] = NONE
+            if self.below:
+                skip = (((keys[going] + i * 0x1E3779B1 ^ piece * 0x5EBCA6B) & 0x7FFFFFFF) * 0x2C1B3C6D >> 15) & 0xFFFF < self.below
+                r, i, piece = going[~skip], i[~skip], piece[~skip]
+            else:
+                r = going
+            j = after[r, i]
+            k = after[r, j]
+            symbol[r, i], symbol[r, j], after[r, i], before[r, k] = piece, -1, k, i
+            inner = j < length
+            order[r[inner], j[inner]] = NONE
+            order[r, i], made[r, i] = self._look(piece, symbol[r, k])
+            b = before[r, i]
+            left = b >= 0
+            r, b, piece = r[left], b[left], piece[left]
+            order[r, b], made[r, b] = self._look(symbol[r, b], piece)
+        left = symbol[:, :-1]
+        stays = left >= 0
+        flat = left[stays]
+        n = self.out_n[flat]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(stays.sum(axis=1))])]
+        return self.out[ragged(self.out_at[flat], n)], np.diff(ends)
+
     def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """units: the text's bytes and the variant as the last byte."""
-        each = [self.unit(u[:-1].decode(), zlib.crc32(u, self.seed & 0xFFFFFFFF)) for u in units]
-        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+        texts = [u[:-1].decode() for u in units]
+        keys = np.fromiter((zlib.crc32(u, self.seed & 0xFFFFFFFF) for u in units), np.int64, len(units))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        lengths, parts = np.zeros(len(units), np.int64), []
+        by_size = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[by_size], prepend=-1)).tolist()
+        for low, high in zip(cuts, [*cuts[1:], len(units)], strict=True):
+            size = int(sizes[by_size[low]])
+            for at in range(low, high, 20_000) if size <= LONG else ():
+                own = by_size[at : min(at + 20_000, high)]
+                flat, lengths[own] = self.many([texts[x] for x in own.tolist()], size, keys[own])
+                parts.append((own, flat))
+            for x in by_size[low:high].tolist() if size > LONG else ():
+                flat = np.array(self.unit(texts[x], int(keys[x])), np.int64)
+                lengths[x] = len(flat)
+                parts.append((np.array([x]), flat))
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.int32)
+        for own, flat in parts:
+            out[ragged(starts[own], lengths[own])] = flat
+        return out, lengths
 
     def encode(self, column: pa.Array, doc_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of texts, and the count of each."""
