@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontamination, jaccard_join, pieces, quality, sharding, token_counts, token_files, toxicity
+from quire.llm import decontamination, embedding_dups, jaccard_join, pieces, quality, sharding, token_counts, token_files, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_pieces": pieces.op4_pieces,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_shards": sharding.op6_shards,
+        "op7_embedding_dups": embedding_dups.op7_embedding_dups,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op10_decontamination": decontamination.op10_decontamination,
     }
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_embedding_dups": embedding_dups.op7_embedding_dups,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op10_decontamination": decontamination.ORACLE_SQL,
     }
