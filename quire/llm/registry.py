@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontamination, embedding_dups, jaccard_join, pieces, quality, sharding, token_counts, token_files, toxicity
+from quire.llm import decontamination, embedding_dups, jaccard_join, pieces, quality, sharding, token_counts, token_files, toxicity, url_templates
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_shards": sharding.op6_shards,
         "op7_embedding_dups": embedding_dups.op7_embedding_dups,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_url_templates": url_templates.op9_url_templates,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
