@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quire.plans import relations, text
+
+_ALL = (text.plans, relations.plans)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for p in _ALL for name, f in p.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for p in _ALL for name, sql in p.sql.items()}
