@@ -22,7 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op7_embedding_dups": embedding_dups.op7_embedding_dups,
-        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op6_shards": sharding.ORACLE_SQL,
         "op10_decontamination": decontamination.ORACLE_SQL,
     }

@@ -99,9 +99,21 @@ def _jump_sql(shards: int, name: str) -> str:
 ), {name} AS (SELECT r, max(b) AS shard FROM {name}_steps GROUP BY r)"""
 
 
-ORACLE_SQL = f"""WITH RECURSIVE rows_ AS (
-  SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents
-), m0 AS (
+def _crc_sql() -> str:
+    """The 256 steps of a byte in crc32 (reversed polynomial 0xEDB88320), from its rule."""
+    step = "SELECT i, i::UBIGINT AS x FROM range(256) r(i)"
+    for _ in range(8):
+        step = f"SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, {0xEDB88320}::UBIGINT) ELSE x >> 1 END AS x FROM ({step})"
+    return f"SELECT list(x ORDER BY i) AS steps_ FROM ({step})"
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+  lambda c, b: xor(c >> 8, list_extract(steps_, (xor(c, b) & 255)::BIGINT + 1))), 4294967295::UBIGINT)::BIGINT"""
+
+ORACLE_SQL = f"""WITH RECURSIVE byte_steps AS MATERIALIZED ({_crc_sql()}),
+texts AS (SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents),
+rows_ AS MATERIALIZED (SELECT r, doc_id, size, {_CRC} AS text_crc32 FROM texts, byte_steps),
+m0 AS (
   SELECT r, (CASE WHEN doc_id < 0 THEN 18446744073709551616::UHUGEINT - CAST(-doc_id AS UHUGEINT) ELSE CAST(coalesce(doc_id, 0) AS UHUGEINT) END
              + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM rows_
 ), m1 AS (SELECT r, xor(x, x // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS x FROM m0),
@@ -109,5 +121,5 @@ m2 AS (SELECT r, xor(x, x // 134217728::UHUGEINT) * 10723151780598845931::UHUGEI
 keyed AS (SELECT r, xor(x, x // 2147483648::UHUGEINT) AS key FROM m2),
 {_jump_sql(16, "now")}, {_jump_sql(17, "then_")}
 SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
-FROM (SELECT doc_id, size, 'key' AS law, CAST(now.shard AS INTEGER) AS shard, CAST(then_.shard AS INTEGER) AS grown_shard, 0 AS text_crc32
+FROM (SELECT doc_id, size, 'key' AS law, CAST(now.shard AS INTEGER) AS shard, CAST(then_.shard AS INTEGER) AS grown_shard, text_crc32
       FROM rows_ JOIN now USING (r) JOIN then_ USING (r))"""
