@@ -32,10 +32,11 @@ def views(folder: str) -> duckdb.DuckDBPyConnection:
 def differences(frame, con, sql: str) -> str:
     """Empty if the rows are equal."""
     ours = rows(frame.columns, frame.collect())
-    found = con.sql(sql)
-    theirs = rows(found.columns, found.fetchall())
-    if sorted(frame.columns) != sorted(found.columns):
-        return f"columns {sorted(frame.columns)} {sorted(found.columns)}"
+    found = con.execute(sql)
+    columns = [c[0] for c in found.description]
+    theirs = rows(columns, found.fetchall())
+    if sorted(frame.columns) != sorted(columns):
+        return f"columns {sorted(frame.columns)} {sorted(columns)}"
     if ours == theirs:
         return ""
     a, b = ours - theirs, theirs - ours
