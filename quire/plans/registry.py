@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import relations, text
+from quire.plans import relations, structure, text
 
-_ALL = (text.plans, relations.plans)
+_ALL = (text.plans, relations.plans, structure.plans)
 
 
 def queries() -> dict:
