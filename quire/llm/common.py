@@ -6,6 +6,7 @@ and sub-batches keep a worker's memory bounded by the largest single document pl
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once in a Python worker (a longer document makes a step of its own).
-STEP = 6_000_000
+STEP = 3_000_000
 
 
 # ---------------------------------------------------------------- shared folder
@@ -71,6 +72,16 @@ def steps(batch: pa.RecordBatch, text: str = "text", step: int = STEP) -> Iterat
         to = max(at + 1, int(np.searchsorted(ends, base + step, "right")))
         yield batch.slice(at, to - at)
         at = to
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that is free again back to the machine: a worker serves many tasks, and its high-water mark would stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +163,7 @@ class Memo:
     When more than ``most`` strings are held it starts anew; results never depend on what it holds.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = 700_000):
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = 400_000):
         self.make, self.dtype, self.most = make, dtype, most
         self.clear()
 

@@ -63,7 +63,7 @@ class Pieces:
         self.spelled_at = np.cumsum(self.spelled_n) - self.spelled_n
         self.below, self.seed = round(dropout * 2**16), seed
         self._pairs()
-        self.memo = Memo(self._units, np.int32, most=900_000)
+        self.memo = Memo(self._units, np.int32)
 
     def unit(self, text: str, key: int) -> list[int]:
         """Ids of one unit. key: what its draws depend on. An agenda's entry is order << 24 | place of the left symbol."""
@@ -197,8 +197,8 @@ class Pieces:
         cuts = np.flatnonzero(np.diff(sizes[by_size], prepend=-1)).tolist()
         for low, high in zip(cuts, [*cuts[1:], len(units)], strict=True):
             size = int(sizes[by_size[low]])
-            for at in range(low, high, 20_000) if size <= LONG else ():
-                own = by_size[at : min(at + 20_000, high)]
+            for at in range(low, high, 5_000) if size <= LONG else ():
+                own = by_size[at : min(at + 5_000, high)]
                 flat, lengths[own] = self.many([texts[x] for x in own.tolist()], size, keys[own])
                 parts.append((own, flat))
             for x in by_size[low:high].tolist() if size > LONG else ():
@@ -265,6 +265,7 @@ _pieces: dict[tuple[str, float, int], Pieces] = {}
 def pieces(name: str, dropout: float, seed: int) -> Pieces:
     key = (name, dropout, seed)
     if key not in _pieces:
+        _pieces.clear()
         _pieces[key] = Pieces(name, dropout, seed)
     return _pieces[key]
 
