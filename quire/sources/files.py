@@ -34,10 +34,10 @@ def notebook(rows: DataFrame) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, length, content, status: ok, or why a file is turned away."""
+    """path, length, content, status: ok, or why a file is turned away. The binary source gives no row for a file without bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
-    status = F.when(F.col("length") == 0, "empty").when(F.col("length") > UPLOAD_MOST, "large").when(~F.lower("path").rlike(r"\.(pdf|ano)$"), "extension").when(~F.contains(head, F.lit(PDF_MAGIC)), "magic").otherwise("ok")
+    status = F.when(F.col("length") > UPLOAD_MOST, "large").when(~F.lower("path").rlike(r"\.(pdf|ano)$"), "extension").when(~F.contains(head, F.lit(PDF_MAGIC)), "magic").otherwise("ok")
     return files.select("path", "length", "content", status.alias("status"))
 
 
