@@ -155,21 +155,22 @@ def _(spark, d):
     return h.join(h.groupBy("n", "h").agg(F.min("doc_id").alias("same_as")), ["n", "h"]).select("doc_id", "same_as")
 
 
-@plans.add("jn_14_order", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY w IS NULL, coalesce(w, c_custkey)) AS BIGINT) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN -c_custkey END AS w FROM customer WHERE c_nationkey = 3)")
+@plans.add("jn_14_order", "SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal >= 0, CASE WHEN c_acctbal < 0 THEN -c_custkey ELSE c_custkey END) AS BIGINT) AS place FROM customer")
 def _(spark, d):
-    c = load(spark, d, "customer").where("c_nationkey = 3").select("c_custkey")
-    want = c.where("c_custkey % 7 = 0").select("c_custkey", (-F.col("c_custkey")).alias("want"))
-    o = J.ordered(c.withColumn("at", F.col("c_custkey")), want, "c_custkey", "at", "want")
-    # one library's order: a short list
-    return o.select("c_custkey", F.row_number().over(Window.orderBy("behind", "place")).cast("long").alias("place"))
+    """Each nation's customers, those in debt asked for first and backwards."""
+    c = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    want = c.where("c_acctbal < 0").select("c_custkey", (-F.col("c_custkey")).alias("want"))
+    o = J.ordered(c.withColumn("at", F.col("c_custkey")), want, "c_custkey", "at", "want").join(c.select("c_custkey", "c_nationkey"), "c_custkey")
+    return o.select("c_nationkey", "c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("behind", "place")).cast("long").alias("place"))
 
 
-@plans.add("jn_15_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' ELSE 'changed' END AS outcome FROM (SELECT doc_id AS k, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id AS k, sha256(text || CASE WHEN doc_id % 8 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
+@plans.add("jn_15_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' ELSE 'changed' END AS outcome FROM (SELECT doc_id AS k, sha256(text) AS h FROM documents WHERE n_chars > 1000) a FULL JOIN (SELECT doc_id AS k, sha256(text || CASE WHEN lang = 'fr' THEN '!' ELSE '' END) AS h FROM documents WHERE n_chars < 3000) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
 def _(spark, d):
+    """What a container held (texts over 1000 characters) against what a workspace has (under 3000, French ones edited)."""
     docs = load(spark, d, "documents").withColumnRenamed("doc_id", "k")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    a = docs.where("k % 2 = 0").select("k", sha(F.col("text")).alias("h"))
-    b = docs.where("k % 4 = 0 or k % 5 = 0").select("k", sha(F.concat("text", F.when(F.col("k") % 8 == 0, "!").otherwise(""))).alias("h"))
+    a = docs.where("n_chars > 1000").select("k", sha(F.col("text")).alias("h"))
+    b = docs.where("n_chars < 3000").select("k", sha(F.concat("text", F.when(F.col("lang") == "fr", "!").otherwise(""))).alias("h"))
     return J.diff(a, b, ["k"], "h")
 
 
@@ -222,9 +223,9 @@ def _(spark, d):
     return S.argmax(g, ["source"], "lang", F.col("chars"), -F.col("first")).withColumnRenamed("lang", "body")
 
 
-@plans.add("ag_02_size_groups", "SELECT grp, count(*) AS n, round(sum(s * w) / sum(w), 1) AS mean FROM (SELECT s, w, sum(CASE WHEN s - p > 0.45 THEN 1 ELSE 0 END) OVER (ORDER BY s) AS grp FROM (SELECT s, w, lag(s) OVER (ORDER BY s) AS p FROM (SELECT p_size AS s, count(*) AS w FROM part WHERE p_size % 5 < 2 GROUP BY p_size))) GROUP BY grp")
+@plans.add("ag_02_size_groups", "SELECT grp, count(*) AS n, round(sum(s * w) / sum(w), 1) AS mean FROM (SELECT s, w, sum(CASE WHEN s - p > 0.45 THEN 1 ELSE 0 END) OVER (ORDER BY s) AS grp FROM (SELECT s, w, lag(s) OVER (ORDER BY s) AS p FROM (SELECT p_size AS s, count(*) AS w FROM part GROUP BY p_size))) GROUP BY grp")
 def _(spark, d):
-    sizes = load(spark, d, "part").where("p_size % 5 < 2").groupBy(F.col("p_size").alias("s")).agg(F.count(F.lit(1)).alias("w"))
+    sizes = load(spark, d, "part").groupBy(F.col("p_size").alias("s")).agg(F.count(F.lit(1)).alias("w"))
     # one row per distinct size
     w = Window.orderBy("s")
     gaps = sizes.withColumn("gap", F.coalesce(F.col("s") - F.lag("s").over(w), F.lit(0)))
@@ -462,7 +463,7 @@ def _(spark, d):
     return j.select("a", "b", F.round(dot("va", "v") / F.sqrt(dot("va", "va") * dot("v", "v")), 6).alias("cosine"))
 
 
-_TOPOLOGY = """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey <= 400), n AS (SELECT s, count(*) AS n FROM e GROUP BY s),
+_TOPOLOGY = """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), n AS (SELECT s, count(*) AS n FROM e GROUP BY s),
 p AS (SELECT x.s AS a, y.s AS b, count(*) AS common_ FROM e x JOIN e y ON x.o = y.o AND x.s < y.s GROUP BY ALL)
 SELECT a, b, round(common_ / (na.n + nb.n - common_)::DOUBLE, 6) AS jaccard FROM p JOIN n na ON na.s = a JOIN n nb ON nb.s = b"""
 
@@ -470,7 +471,7 @@ SELECT a, b, round(common_ / (na.n + nb.n - common_)::DOUBLE, 6) AS jaccard FROM
 @plans.add("set_04_jaccard", _TOPOLOGY)
 def _(spark, d):
     """Neighbour Jaccard from an inverted index: only pairs with a common neighbour exist."""
-    e = load(spark, d, "lineitem").where("l_orderkey <= 400").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
+    e = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
     n = e.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     p = e.select("o", F.col("s").alias("a")).join(e.select("o", F.col("s").alias("b")), "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
     j = p.join(n.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")

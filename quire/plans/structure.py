@@ -68,7 +68,7 @@ def _(spark, d):
 
 @plans.add("win_11_hyphen_pairs")
 def _(spark, d):
-    words = F.transform(F.slice(F.split("text", r"\s+"), 1, 400), lambda w, i: F.when(i % 5 < 2, F.concat(F.left(w, F.lit(3)), F.lit("-"))).otherwise(w))
+    words = F.transform(F.split("text", r"\s+"), lambda w, i: F.when(i % 5 < 2, F.concat(F.left(w, F.lit(3)), F.lit("-"))).otherwise(w))
     tokens = load(spark, d, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "token"))
     return S.hyphen_pairs(tokens, ["conv_id", "turn"], "token", "pos").select("conv_id", "turn", "pos", "merged")
 
@@ -102,13 +102,14 @@ def _(spark, d):
 
 
 def _nodes(spark, d):
-    p = load(spark, d, "part").where("p_partkey <= 300")
-    return p.select(F.col("p_brand").alias("view"), F.col("p_partkey").alias("node"), L.node_text(F.col("p_name"), F.col("p_type")).alias("text"))
+    """Parts as concepts: a view for every brand and range of sizes."""
+    view = F.concat("p_brand", F.lit("/"), F.floor(F.col("p_size") / 10).cast("string"))
+    return load(spark, d, "part").select(view.alias("view"), F.col("p_partkey").alias("node"), L.node_text(F.col("p_name"), F.col("p_type")).alias("text"))
 
 
-@plans.add("grf_02_tfidf", """WITH w AS (SELECT p_brand AS view, p_partkey AS node, ' ' || unnest(string_split_regex(lower(p_name || ' ' || p_type), '\\s+')) || ' ' AS w FROM part WHERE p_partkey <= 300),
+@plans.add("grf_02_tfidf", """WITH w AS (SELECT p_brand || '/' || (p_size // 10) AS view, p_partkey AS node, ' ' || unnest(string_split_regex(lower(p_name || ' ' || p_type), '\\s+')) || ' ' AS w FROM part),
 g AS (SELECT view, node, substr(w, i, k) AS gram FROM (SELECT view, node, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM w, (VALUES (2), (3), (4)) n(k) WHERE length(w) > k)),
-t AS (SELECT view, node, gram, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT p_brand AS view, count(*) AS n FROM part WHERE p_partkey <= 300 GROUP BY 1), f AS (SELECT view, gram, count(*) AS df FROM t GROUP BY ALL),
+t AS (SELECT view, node, gram, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT p_brand || '/' || (p_size // 10) AS view, count(*) AS n FROM part GROUP BY 1), f AS (SELECT view, gram, count(*) AS df FROM t GROUP BY ALL),
 x AS (SELECT t.view, node, gram, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM t JOIN f USING (view, gram) JOIN n ON n.view = t.view)
 SELECT view, node, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY view, node)), 6) AS weight FROM x""")
 def _(spark, d):
@@ -121,13 +122,13 @@ def _(spark, d):
 
 
 def _edges(spark, d):
-    l = load(spark, d, "lineitem").where("l_orderkey <= 200")
-    return l.select(F.lit("v").alias("view"), F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 100_000).alias("b"))
+    """Every order is a view: its parts and their suppliers (negative numbers) are the nodes."""
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("view"), (-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
 
 
-@plans.add("grf_05_topology", """WITH e AS (SELECT l_orderkey AS a, l_suppkey + 100000 AS b FROM lineitem WHERE l_orderkey <= 200), u AS (SELECT a AS n, b AS m FROM e UNION SELECT b, a FROM e), k AS (SELECT n, count(*) AS k FROM u GROUP BY n),
-c AS (SELECT x.n AS a, y.n AS b, count(*) AS c FROM u x JOIN u y ON x.m = y.m AND x.n < y.n GROUP BY ALL), q AS (SELECT a, b, count(*) AS e FROM e GROUP BY ALL)
-SELECT 'v' AS view, a, b, round(least(1.0, coalesce(c, 0) / (x.k + y.k - coalesce(c, 0))::DOUBLE + 0.5 * coalesce(e, 0)), 6) AS topo FROM c FULL JOIN q USING (a, b) JOIN k x ON x.n = a JOIN k y ON y.n = b""")
+@plans.add("grf_05_topology", """WITH e AS (SELECT l_orderkey AS v, -l_suppkey AS a, l_partkey AS b FROM lineitem), u AS (SELECT v, a AS n, b AS m FROM e UNION SELECT v, b, a FROM e), k AS (SELECT v, n, count(*) AS k FROM u GROUP BY v, n),
+c AS (SELECT x.v, x.n AS a, y.n AS b, count(*) AS c FROM u x JOIN u y ON x.v = y.v AND x.m = y.m AND x.n < y.n GROUP BY ALL), q AS (SELECT v, a, b, count(*) AS e FROM e GROUP BY ALL)
+SELECT v AS view, a, b, round(least(1.0, coalesce(c, 0) / (x.k + y.k - coalesce(c, 0))::DOUBLE + 0.5 * coalesce(e, 0)), 6) AS topo FROM c FULL JOIN q USING (v, a, b) JOIN k x USING (v) JOIN k y USING (v) WHERE x.n = a AND y.n = b""")
 def _(spark, d):
     return L.topology(_edges(spark, d), "view", "a", "b").withColumn("topo", F.round("topo", 6))
 
@@ -140,10 +141,10 @@ def _(spark, d):
     return L.placed(nodes, L.distances(near, none, "view"), "view", "node")
 
 
-@plans.add("grf_10_adjacency", "SELECT l_orderkey AS a, l_suppkey + 100000 AS b FROM lineitem WHERE l_orderkey <= 200 UNION SELECT l_suppkey + 100000, l_orderkey FROM lineitem WHERE l_orderkey <= 200")
+@plans.add("grf_10_adjacency", "SELECT l_orderkey AS view, -l_suppkey AS a, l_partkey AS b FROM lineitem UNION SELECT l_orderkey, l_partkey, -l_suppkey FROM lineitem")
 def _(spark, d):
     e = _edges(spark, d)
-    return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return e.unionByName(e.select("view", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 @plans.add("val_03_cycles", "SELECT 'g' AS owner, unnest([3, 4, 5, 6]) AS node")
