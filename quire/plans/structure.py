@@ -123,10 +123,10 @@ def _(spark, d):
 
 def _edges(spark, d):
     """Every order is a view: its parts and their suppliers (negative numbers) are the nodes."""
-    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("view"), (-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("view"), (-F.col("l_suppkey") - 1).alias("a"), F.col("l_partkey").alias("b"))
 
 
-@plans.add("grf_05_topology", """WITH e AS (SELECT l_orderkey AS v, -l_suppkey AS a, l_partkey AS b FROM lineitem), u AS (SELECT v, a AS n, b AS m FROM e UNION SELECT v, b, a FROM e), k AS (SELECT v, n, count(*) AS k FROM u GROUP BY v, n),
+@plans.add("grf_05_topology", """WITH e AS (SELECT l_orderkey AS v, -l_suppkey - 1 AS a, l_partkey AS b FROM lineitem), u AS (SELECT v, a AS n, b AS m FROM e UNION SELECT v, b, a FROM e), k AS (SELECT v, n, count(*) AS k FROM u GROUP BY v, n),
 c AS (SELECT x.v, x.n AS a, y.n AS b, count(*) AS c FROM u x JOIN u y ON x.v = y.v AND x.m = y.m AND x.n < y.n GROUP BY ALL), q AS (SELECT v, a, b, count(*) AS e FROM e GROUP BY ALL)
 SELECT v AS view, a, b, round(least(1.0, coalesce(c, 0) / (x.k + y.k - coalesce(c, 0))::DOUBLE + 0.5 * coalesce(e, 0)), 6) AS topo FROM c FULL JOIN q USING (v, a, b) JOIN k x USING (v) JOIN k y USING (v) WHERE x.n = a AND y.n = b""")
 def _(spark, d):
@@ -141,7 +141,7 @@ def _(spark, d):
     return L.placed(nodes, L.distances(near, none, "view"), "view", "node")
 
 
-@plans.add("grf_10_adjacency", "SELECT l_orderkey AS view, -l_suppkey AS a, l_partkey AS b FROM lineitem UNION SELECT l_orderkey, l_partkey, -l_suppkey FROM lineitem")
+@plans.add("grf_10_adjacency", "SELECT l_orderkey AS view, -l_suppkey - 1 AS a, l_partkey AS b FROM lineitem UNION SELECT l_orderkey, l_partkey, -l_suppkey - 1 FROM lineitem")
 def _(spark, d):
     e = _edges(spark, d)
     return e.unionByName(e.select("view", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
