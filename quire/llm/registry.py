@@ -23,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_shards": sharding.ORACLE_SQL,
+        "op9_url_templates": url_templates.ORACLE_SQL,
         "op10_decontamination": decontamination.ORACLE_SQL,
     }

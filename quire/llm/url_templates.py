@@ -89,3 +89,39 @@ def judged(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url"
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _oracle(rules=RULES) -> str:
+    """The same rules and tree in SQL, a group of CTEs a level."""
+    ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in ordered) + " END"
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    parts = [
+        rf"h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({rest}, '') AS rest FROM pages))",
+        f"r AS MATERIALIZED (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS said FROM h)",
+        f"""s0 AS (SELECT host, path, n, labelled, blocked, '' AS parent, '' AS template,
+          CASE WHEN len(x) > {DEPTH} THEN list_append(list_slice(x, 1, {DEPTH - 1}), array_to_string(list_slice(x, {DEPTH}, len(x)), '/')) ELSE x END AS pieces
+          FROM (SELECT host, path, count(*) AS n, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, string_split(regexp_replace(path, '^/', ''), '/') AS x FROM r GROUP BY host, path))""",
+    ]
+    for k in range(DEPTH):
+        parts += [
+            f"c{k} AS (SELECT host, template, pieces[{k + 1}] AS piece, sum(n) AS n FROM s{k} WHERE len(pieces) > {k} GROUP BY ALL)",
+            f"w{k} AS (SELECT host, template FROM (SELECT host, template, count(*) AS kinds, sum(n) AS total FROM c{k} GROUP BY ALL) WHERE kinds > {KINDS} OR (kinds > {NEW} * total AND total >= {LEAST}))",
+            f"""s{k + 1} AS MATERIALIZED (SELECT s.host, path, n, labelled, blocked, CASE WHEN len(pieces) > {k} THEN s.template ELSE parent END AS parent,
+              CASE WHEN len(pieces) > {k} THEN s.template || '/' || CASE WHEN w.host IS NOT NULL AND pieces[{k + 1}] <> '' THEN '*' ELSE pieces[{k + 1}] END ELSE s.template END AS template, pieces
+              FROM s{k} s LEFT JOIN w{k} w ON w.host = s.host AND w.template = s.template)""",
+        ]
+    parts += [
+        f"l AS MATERIALIZED (SELECT host, parent, template, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM s{DEPTH} GROUP BY ALL)",
+        f"k AS (SELECT * FROM l WHERE labelled >= {LEAST})",
+        "p AS (SELECT host, parent, sum(labelled) AS al, sum(blocked) AS ab FROM k GROUP BY ALL)",
+        f"m AS (SELECT k.* FROM k JOIN p USING (host, parent) WHERE abs(blocked / labelled - ab / al) <= {Z} * sqrt((ab / al) * (1 - ab / al) * (1 / labelled + 1 / al)) + 1e-12)",
+        "g AS (SELECT host, parent, sum(labelled) AS ml, sum(blocked) AS mb FROM m GROUP BY ALL)",
+        f"""v AS (SELECT l.host, l.parent, l.template, (coalesce(mb, blocked) + {A} * (SELECT sum(blocked) / sum(n) FROM l)) / (coalesce(ml, labelled) + {A}) AS purity
+          FROM l LEFT JOIN (SELECT m.host, m.parent, m.template, ml, mb FROM m JOIN g USING (host, parent)) x ON x.host = l.host AND x.parent = l.parent AND x.template = l.template)""",
+        f"t AS (SELECT s.host, s.path, purity FROM s{DEPTH} s JOIN v ON v.host = s.host AND v.parent = s.parent AND v.template = s.template)",
+    ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT page_id, r.host, r.path, rule, CASE WHEN said IS NOT NULL THEN said WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict FROM r LEFT JOIN t ON t.host = r.host AND t.path = r.path"
+
+
+ORACLE_SQL = _oracle()

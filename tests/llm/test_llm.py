@@ -266,6 +266,12 @@ def test_url_templates_learn(spark):
     assert all(verdict[i] == "block" for i in range(60)) and all(verdict[100 + i] == "allow" for i in range(60))
 
 
+def test_url_templates_sql(spark):
+    import oracle
+
+    assert oracle.differences(url_templates.op9_url_templates(spark, SF), oracle.views(SF), url_templates.ORACLE_SQL) == ""
+
+
 # 10
 def brute_hits(docs, items):
     out = []
