@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import relations, structure, text
+from quire.plans import relations, structure, text, upkeep
 
-_ALL = (text.plans, relations.plans, structure.plans)
+_ALL = (text.plans, relations.plans, structure.plans, upkeep.plans)
 
 
 def queries() -> dict:
