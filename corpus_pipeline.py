@@ -8,28 +8,23 @@ from pyspark.sql import functions as F
 from quire.llm import decontamination, jaccard_join, pieces, quality, toxicity
 from quire.llm.common import shared_path, stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _columns(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c in COLUMNS] or docs.columns
-
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic (score 0.5 or more) go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("toxicity < 0.5").select(*_columns(docs))
+    scored = toxicity.score(docs, model)  # the score is the last column, whatever the others are called
+    return scored.where(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised scorer rejects go."""
-    return quality.score(docs, quality.fit(docs)).where(F.col("quality") >= quality.KEEP).select(*_columns(docs))
+    return quality.score(docs, quality.fit(docs), name="quire_quality").where(F.col("quire_quality") >= quality.KEEP).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (by links at 0.8), the document with the smallest doc_id stays."""
     gone = jaccard_join.jaccard_links(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*_columns(docs))
+    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +32,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "benchmark")
     blocks = decontamination.index_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs, folder)
     hit = decontamination.contamination(docs, folder, blocks, spans=False).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(stored(hit, "contaminated"), "doc_id", "left_anti").select(*_columns(docs))
+    return docs.join(stored(hit, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
