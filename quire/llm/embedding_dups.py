@@ -1,17 +1,19 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are halved; each half has a codebook of its own (k-means), and pairs of codewords are the cells of a product grid. Every vector is
-indexed in one cell. A query visits cells in ascending order of the sum of its halves' distances to the codewords (the order in which the
-multi-sequence algorithm yields them), and what it finds there is verified by cosine in double precision. How many cells are
-visited is settled beforehand: ``QUERIES`` vectors are compared with all others, and the least number of cells that finds ``RECALL`` of their
-links is doubled. Links count in both directions, whichever side found them.
+indexed in one cell. A query visits cells in ascending order of the sum of its halves' bounds (the order in which the multi-sequence algorithm
+yields them) and stops where that sum exceeds the squared distance of a link; what it finds is verified by cosine in double precision. The bound of
+a half: whoever lives with codeword c is on c's side of the plane between c and the query's own codeword o, so no nearer to the query than that plane,
+(d(x, c)^2 - d(x, o)^2) / (2 |c - o|). No cell that can hold a link is left out, so links are exact, whatever the codebooks.
+A pair in different cells is compared once, in the later one, and counts for both.
 
 Only vectors of equal label and length are compared. Vectors that are null, zero, or hold null or non-finite components, and those with a null label, link with
 nothing and are components of their own. Equal vectors are one class (their cosine is 1), so a vector that fills a third of the table is compared
 once. Large cells are split into blocks over many tasks. Rows are told apart by vec_id alone when components are named: rows that repeat a vec_id
 have one component. An empty table gives an empty result; extra columns are ignored.
 
-Bounds of the fit: ``SAMPLE`` classes train the codebooks, ``QUERIES`` measure recall; every class is indexed and queried.
+Bounds of the fit, which settles what is cheap and never what is found: ``SAMPLE`` classes train the codebooks, ``QUERIES`` of them settle how many codewords
+there are; every class is indexed and queried. Where vectors have no clusters nearly all cells are visited, and the work is that of all pairs of a label.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import pick, stored, width
 from quire.llm.graph import by_group, components, forest
 
-COSINE, RECALL, SAMPLE, QUERIES, BLOCK = 0.93, 0.999, 20_000, 400, 2000
+COSINE, SAMPLE, QUERIES, BLOCK = 0.93, 20_000, 400, 2000
+#: What a visit costs in comparisons. Slack of the bound, far above what rounding can add; codewords nearer than NEAR give no bound.
+VISIT, SLACK, NEAR = 500, 1e-6, 1e-4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -34,13 +38,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """Codebooks of the two halves, and how many cells a query visits."""
+    """Codebooks of the two halves, and the squared distance within which cells are visited."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, visits: int):
-        self.books, self.visits = (first, second), visits
-        # the pairs of ranks (a, b) that can be among the first ``visits``: (a + 1) (b + 1) <= visits
-        n = len(first)
-        self.ranks = np.array([(a, b) for a in range(min(n, visits)) for b in range(min(n, visits)) if (a + 1) * (b + 1) <= visits], np.int64).reshape(-1, 2)
+    def __init__(self, first: np.ndarray, second: np.ndarray, reach: float):
+        self.books, self.reach = (first, second), reach
+        self.gaps = [np.sqrt(np.maximum(self.distances(book, book), 0)) for book in self.books]
 
     @staticmethod
     def trained(sample: np.ndarray, codewords: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +57,8 @@ class Grid:
                 np.add.at(sums, own, part)
                 n = np.bincount(own, minlength=len(book))
                 book[n > 0] = sums[n > 0] / n[n > 0, None]
-            books.append(book)
+            # equal codewords would be cells of nothing
+            books.append(np.unique(book, axis=0) if part.shape[1] else book[:1])
         return books[0], books[1]
 
     @staticmethod
@@ -70,14 +73,25 @@ class Grid:
         one, two = self.far(vectors)
         return one.argmin(axis=1) * len(self.books[1]) + two.argmin(axis=1)
 
-    def sequence(self, vectors: np.ndarray) -> np.ndarray:
-        """The first ``visits`` cells of each vector, nearest first."""
-        one, two = self.far(vectors)
-        by_one, by_two = np.argsort(one, axis=1), np.argsort(two, axis=1)
-        a, b = by_one[:, self.ranks[:, 0]], by_two[:, self.ranks[:, 1]]
-        sums = np.take_along_axis(one, a, axis=1) + np.take_along_axis(two, b, axis=1)
-        order = np.argsort(sums, axis=1, kind="stable")[:, : self.visits]
-        return np.take_along_axis(a * len(self.books[1]) + b, order, axis=1)
+    def least(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each half, the squared distance below which no vector that lives with a codeword can be."""
+        out = []
+        for far, gap in zip(self.far(vectors), self.gaps, strict=True):
+            own = far.argmin(axis=1)
+            between = gap[own]
+            margin = (far - far[np.arange(len(far)), own][:, None]) / (2 * np.maximum(between, NEAR))
+            out.append(np.where(between > NEAR, np.maximum(margin, 0), 0) ** 2)
+        return out[0], out[1]
+
+    def visited(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a vector's number and a cell that can hold a link of it."""
+        one, two = self.least(vectors)
+        row, cell = [], []
+        for at in range(0, len(vectors), step := max(1, 4_000_000 // (one.shape[1] * two.shape[1]))):
+            r, a, b = np.nonzero(one[at : at + step, :, None] + two[at : at + step, None, :] <= self.reach)
+            row.append(at + r)
+            cell.append(a * two.shape[1] + b)
+        return np.concatenate(row), np.concatenate(cell)
 
 
 def _array(column, dim: int) -> np.ndarray:
@@ -86,7 +100,7 @@ def _array(column, dim: int) -> np.ndarray:
 
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> tuple[DataFrame, list[dict]]:
-    """vec_id, n_links, component_id, kept for every row; and per vector length the codewords, visits and measured recall."""
+    """vec_id, n_links, component_id, kept for every row; and per vector length the codewords and the visits of a vector, as the sample has them; recall is 1 by the bound."""
     base = pick(rows, key, label, vector).select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     sound = F.col("label").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     # 0.0 + x: minus zero is zero
@@ -122,65 +136,45 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", l
 
 def _links(classes: DataFrame, dim: int, most: int, cosine: float, parts: int) -> tuple[DataFrame, dict]:
     """node, links, other: link counts (links > 0), and links that hold components together (links = 0)."""
-    # about 32 classes of the largest label to a cell
-    codewords = int(min(256, max(2, round((most / 32) ** 0.5))))
     order = F.xxhash64("node", F.lit(3))
     sample = classes.select("node", "label", "vector").orderBy(order, "node").limit(SAMPLE).toPandas()
     vectors = unit(np.stack([np.asarray(v, np.float64) for v in sample["vector"]]))
-    first, second = Grid.trained(vectors, codewords)
-    cells = len(first) * len(second)
-
-    # recall: a bounded query set against all rows
-    queries, labels, nodes = vectors[:QUERIES], sample["label"].to_numpy()[:QUERIES], sample["node"].to_numpy()[:QUERIES]
-    whole = Grid(first, second, 1)
-    one, two = whole.far(queries)
-    rank = np.empty((len(queries), cells), np.int64)
-    np.put_along_axis(rank, np.argsort((one[:, :, None] + two[:, None, :]).reshape(len(queries), -1), axis=1, kind="stable"), np.arange(cells)[None, :], axis=1)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for b in batches:
-            if b.num_rows:
-                x = unit(_array(b.column(2), dim))
-                hit = (queries @ x.T >= cosine) & (labels[:, None] == b.column(1).to_numpy(zero_copy_only=False)[None, :]) & (nodes[:, None] != b.column(0).to_numpy()[None, :])
-                q, y = np.nonzero(hit)
-                total += np.bincount(rank[q, whole.cells(x)[y]], minlength=cells)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["rank", "n"])
-
-    seen = classes.select("node", "label", "vector").mapInArrow(measure, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()
-    reached = seen["n"].cumsum() / max(1, seen["n"].sum())
-    least = int(seen["rank"][reached >= RECALL].iloc[0]) + 1 if len(seen) else 4
-    visits = min(cells, max(4, 2 * least))
-    at_visits = float(seen["n"][seen["rank"] < visits].sum() / seen["n"].sum()) if len(seen) else None
-    grid = Grid(first, second, visits)
+    # |x - y|^2 = 2 - 2 cosine of unit vectors
+    reach = 2 - 2 * cosine + SLACK
+    # no more cells than give about 32 classes of the largest label to each; of 1, 2, 4, ... codewords those with the least work, as the sample shows it
+    best, codewords = None, 1
+    while codewords <= min(256, max(2, round((most / 32) ** 0.5))):
+        tried = Grid(*Grid.trained(vectors, codewords), reach)
+        share = np.bincount(tried.cells(vectors)) / len(vectors)
+        row, cell = tried.visited(vectors[:QUERIES])
+        queries = min(QUERIES, len(vectors))
+        work = (VISIT * len(row) + most * np.where(cell < len(share), share[np.minimum(cell, len(share) - 1)], 0).sum()) / queries
+        if best is None or work < best[0]:
+            best = work, tried, len(row) / queries
+        codewords *= 2
+    _, grid, visits = best
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each class, a row for every cell it visits; the first column but one says whether it lives there. seq: all of them."""
+        """Of each class, a row for the cell it lives in and every later one that it visits."""
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(_array(b.column(2), dim))
-            seq, own = grid.sequence(x), grid.cells(x)
-            # the cell a class lives in comes first in its sequence, but for equal distances
-            n = seq.shape[1]
-            home = np.concatenate([own[:, None], seq], axis=1)
-            lives = np.zeros(home.shape, bool)
-            lives[:, 0] = True
-            keep = lives | (home != own[:, None])
-            visits_home = (seq == own[:, None]).any(axis=1)
-            row = np.repeat(np.arange(len(x)), n + 1)[keep.ravel()]
-            vectors_ = pa.FixedSizeListArray.from_arrays(pa.array(x[row].ravel()), dim).cast(pa.list_(pa.float64()))
-            seqs = pa.FixedSizeListArray.from_arrays(pa.array(seq[row].astype(np.int32).ravel()), n).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1).take(pa.array(row)), pa.array(home.ravel()[keep.ravel()].astype(np.int32)), pa.array(lives.ravel()[keep.ravel()]), b.column(0).take(pa.array(row)), b.column(3).take(pa.array(row)), vectors_, seqs, pa.array(own[row].astype(np.int32)), pa.array(visits_home[row])],
-                names=["label", "cell", "lives", "node", "copies", "vector", "sequence", "home", "sees_home"],
-            )
-
-    placed = classes.select("node", "label", "vector", "copies").mapInArrow(
-        place, "label string, cell int, lives boolean, node long, copies long, vector array<double>, sequence array<int>, home int, sees_home boolean",
-    )
-    placed = stored(placed, "cells")
+            # so many at a time as memory holds
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                x = unit(_array(part.column(2), dim))
+                own = grid.cells(x)
+                row, cell = grid.visited(x)
+                later = cell > own[row]
+                row, cell = np.concatenate([np.arange(len(x)), row[later]]), np.concatenate([own, cell[later]])
+                lives = np.arange(len(row)) < len(x)
+                for low in range(0, len(row), 10_000):
+                    r = row[low : low + 10_000]
+                    vectors_ = pa.FixedSizeListArray.from_arrays(pa.array(x[r].ravel()), dim).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(1).take(pa.array(r)), pa.array(cell[low : low + 10_000].astype(np.int32)), pa.array(lives[low : low + 10_000]), part.column(0).take(pa.array(r)), part.column(3).take(pa.array(r)), vectors_],
+                        names=["label", "cell", "lives", "node", "copies", "vector"],
+                    )
+
+    placed = stored(classes.select("node", "label", "vector", "copies").mapInArrow(place, "label string, cell int, lives boolean, node long, copies long, vector array<double>"), "cells")
     # a large cell: its dwellers and its visitors are each cut into blocks, and every pair of blocks is a unit of work
     size = placed.groupBy("label", "cell").agg(F.count_if("lives").alias("n_in"), F.count(F.lit(1)).alias("n_all")).where(f"n_all > {BLOCK}")
     size = size.select("label", "cell", F.greatest(F.lit(1), F.ceil(F.col("n_in") / BLOCK)).cast("int").alias("ins"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("alls"))
@@ -197,9 +191,7 @@ def _links(classes: DataFrame, dim: int, most: int, cosine: float, parts: int) -
             return None
         x = _array(table.column("vector"), dim)
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        home, sees = table.column("home").to_numpy(), table.column("sees_home").to_numpy(zero_copy_only=False)
-        sequence = table.column("sequence").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
-        cell = table.column("cell")[0].as_py()
+        lives = table.column("lives").to_numpy(zero_copy_only=False)
         p, q = [], []
         for at in range(0, len(v), 1000):
             # products in double precision; of each pair the same sum from either side
@@ -212,14 +204,11 @@ def _links(classes: DataFrame, dim: int, most: int, cosine: float, parts: int) -
         low, high = np.where(node[p] < node[q], p, q), np.where(node[p] < node[q], q, p)
         sure = np.concatenate([np.einsum("ij,ij->i", x[low[k : k + 100_000]], x[high[k : k + 100_000]]) >= cosine for k in range(0, len(p), 100_000)]) if len(p) else np.zeros(0, bool)
         p, q = p[sure], q[sure]
-        # the visitor counts the dweller; a visitor that only lives here, and doesn't visit, is counted by the dweller's visit elsewhere
-        counted = (home[p] != cell) | sees[p]
-        p, q = p[counted], q[counted]
         if not len(p):
             return None
-        # does the dweller find the visitor in turn? if not, its count is settled here
-        blind = ~(sequence[q] == home[p][:, None]).any(axis=1)
-        links = np.bincount(p, copies[q], len(node)) + np.bincount(q[blind], copies[p[blind]], len(node))
+        # the visitor counts the dweller; one from an earlier cell is not visited in turn, so the dweller's count is settled here, too
+        guest = ~lives[p]
+        links = np.bincount(p, copies[q], len(node)) + np.bincount(q[guest], copies[p[guest]], len(node))
         seen_ = np.flatnonzero(links)
         number_ = {n: k for k, n in enumerate(dict.fromkeys(node.tolist()))}
         names = list(number_)
@@ -230,7 +219,7 @@ def _links(classes: DataFrame, dim: int, most: int, cosine: float, parts: int) -
         )
 
     found = by_group(units, ["label", "cell", "block_in", "block_all"], link, "node long, links long, other long", parts)
-    return stored(found, "vector-links"), {"codewords": codewords, "cells": cells, "visits": visits, "recall": at_visits}
+    return stored(found, "vector-links"), {"codewords": len(grid.books[0]), "cells": len(grid.books[0]) * len(grid.books[1]), "visits": visits, "recall": 1.0}
 
 
 def op7_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

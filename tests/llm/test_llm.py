@@ -198,6 +198,25 @@ def test_near_vectors(spark):
     assert embedding_dups.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int"))[0].count() == 0
 
 
+def test_near_vectors_without_clusters(spark, monkeypatch):
+    """Few links among vectors without clusters, which the sample doesn't show, in many cells: all of them are found."""
+    monkeypatch.setattr(embedding_dups, "QUERIES", 2)
+    monkeypatch.setattr(embedding_dups, "VISIT", 0, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(400, 64))
+    away -= (away * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = np.linspace(0.931, 0.94, 400)[:, None]
+    x[2000:2400] = c * x[:400] + np.sqrt(1 - c**2) * away
+    label = np.arange(4000) % 2
+    got = embedding_dups.near_vectors(spark.createDataFrame([(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<double>, label int"))[0].toPandas().set_index("vec_id")
+    want = ((x @ x.T >= 0.93) & (label[:, None] == label[None, :])).sum(axis=1) - 1
+    assert want.sum() == 800 and got.n_links.sort_index().tolist() == want.tolist()
+    assert [got.component_id[2000 + i] for i in range(400)] == list(range(400))
+
+
 # 8
 def brute_links(rows):
     sets = []
