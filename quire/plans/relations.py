@@ -460,6 +460,16 @@ def _(spark, d):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, x_: s + x_)
     a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"))
     j = a.join(e.select(F.col("vec_id").alias("b"), "label", "v"), "label").where("a < b")
+
+
+@plans.add("grf_04_cosine_whole", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0")
+def _(spark, d):
+    """The query vectors' rows of the matrix, whole: grf_04_cosine has only the part above the diagonal."""
+    e = load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, x_: s + x_)
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"))
+    j = a.join(e.select(F.col("vec_id").alias("b"), "label", "v"), "label").where("a != b")
+    return j.select("a", "b", F.round(dot("va", "v") / F.sqrt(dot("va", "va") * dot("v", "v")), 6).alias("cosine"))
     return j.select("a", "b", F.round(dot("va", "v") / F.sqrt(dot("va", "va") * dot("v", "v")), 6).alias("cosine"))
 
 

@@ -50,6 +50,13 @@ def test_stub_merge(spark):
     assert [len(s) for s in df.select(S.merged_stubs(F.col("x")).alias("v")).first().v] == [1002, 1000, 100]
 
 
+def test_queries_of_the_matrix_see_smaller_ids(spark):
+    from quire.plans import registry
+
+    got = {(r.a, r.b): r.cosine for r in registry.queries()["grf_04_cosine_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert any(b < a for a, b in got) and all(got[b, a] == c for (a, b), c in got.items() if b % 50 == 0)
+
+
 def test_levels(spark):
     assert [one(spark, t, C.level) for t in ("1 Introduction", "2.1 Results", "2D cultures", "Results", "IMPORTANT")] == [1, 2, 2, 1, 1]
 
