@@ -31,9 +31,9 @@ def _(spark, d):
 
 @plans.add("sec_04_sections")
 def _(spark, d):
-    """Conversations as documents: a user's turn is a numbered heading, what follows is its text."""
+    """Conversations as documents: a user's whole turn is a numbered heading, what follows is its text."""
     c = load(spark, d, "conversations").withColumn("heading", F.col("role") == "user")
-    lines = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("heading"), F.concat(F.lit("1 "), F.left("text", F.lit(60)))).otherwise(F.col("text")).alias("text"), "heading")
+    lines = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("heading"), F.concat(F.lit("1 "), "text")).otherwise(F.col("text")).alias("text"), "heading")
     return C.sections(lines).select("doc_id", "section", "title", "level", "parent", "container", "chars")
 
 

@@ -57,6 +57,15 @@ def test_queries_of_the_matrix_see_smaller_ids(spark):
     assert any(b < a for a, b in got) and all(got[b, a] == c for (a, b), c in got.items() if b % 50 == 0)
 
 
+def test_whole_turns_are_titles(spark):
+    from quire.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    turns = {"1 " + r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").collect()}
+    titles = {r.title for r in registry.queries()["sec_04_sections"](spark, sf).collect()}
+    assert titles <= turns and max(map(len, titles)) > 62
+
+
 def test_levels(spark):
     assert [one(spark, t, C.level) for t in ("1 Introduction", "2.1 Results", "2D cultures", "Results", "IMPORTANT")] == [1, 2, 2, 1, 1]
 
