@@ -88,16 +88,41 @@ def page_sections(lines: Column, least: int = 3) -> Column:
 def best_lines(anchors: DataFrame, lines: DataFrame, least: int = 45) -> DataFrame:
     """For every anchor (doc_id, anchor_id, title, page) the line with the best additive score, the first of equals, if it reaches ``least``.
 
-    Equal keys 60, one a prefix of the other 40, same page 20, next page 8, short line 5. Only lines that share the first word of the key
-    can reach the least score, so that is the join's key.
+    Equal keys 60, one a prefix of the other 40, same page 20, next page 8, short line 5. An anchor is compared with every line of its document;
+    lines and anchors without text meet nothing.
     """
-    first = lambda c: F.regexp_extract(c, r"^\S+", 0)
-    a = anchors.withColumn("_k", T.structure_key(F.col("title"))).withColumn("_w", first(F.col("_k"))).where("_w <> ''")
-    l = lines.withColumn("_l", T.structure_key(F.col("text"))).withColumn("_w", first(F.col("_l"))).withColumnRenamed("page", "_page")
-    both = a.join(l, ["doc_id", "_w"])
+    a = anchors.withColumn("_k", T.structure_key(F.col("title"))).where("_k <> ''")
+    l = lines.withColumn("_l", T.structure_key(F.col("text"))).where("_l <> ''").withColumnRenamed("page", "_page")
     score = (
         F.when(F.col("_k") == F.col("_l"), 60).when(F.startswith("_k", F.col("_l")) | F.startswith("_l", F.col("_k")), 40).otherwise(0)
         + F.when(F.col("page") == F.col("_page"), 20).when(F.abs(F.col("page") - F.col("_page")) == 1, 8).otherwise(0) + F.when(F.length("_l") <= 120, 5).otherwise(0)
     )
-    scored = both.withColumn("score", score).where(F.col("score") >= least)
-    return scored.groupBy("doc_id", "anchor_id").agg(F.max_by(F.struct("pos", "score"), F.struct("score", -F.col("pos"))).alias("b")).select("doc_id", "anchor_id", "b.pos", "b.score")
+    return _best(a.join(l, "doc_id").withColumn("score", score), least)
+
+
+def found_lines(anchors: DataFrame, lines: DataFrame, least: int = 45) -> DataFrame:
+    """For every anchor (doc_id, anchor_id, anchor, title, page, anchor_line) the line (doc_id, page, pos, text, role) with the best score, the first of equals, if it reaches ``least``.
+
+    The line is the anchor 120, begins with it 85, holds it 60, or (from 4 characters on) is held by it 40; is the title 100, begins with it 70, holds it 40; is a
+    heading (role head) 25; same page 15; the anchor's line 30, at most 3 away 20, at most 40 away 10. An anchor may begin with its line's mark
+    (L123|) and end in an ellipsis; what is null or empty gives nothing, nor does page 0.
+    """
+    plain = T.structure_key(F.col("anchor"))
+    plain = F.when(F.startswith(plain, F.lit("l")), F.trim(F.regexp_replace(plain, r"^[^|]*\|", ""))).otherwise(plain)
+    plain = F.trim(F.regexp_replace(plain, r"(?s)(…|\.\.\.).*$", ""))
+    a = anchors.select("doc_id", "anchor_id", F.coalesce(plain, F.lit("")).alias("_a"), F.coalesce(T.structure_key(F.col("title")), F.lit("")).alias("_t"), F.col("page").alias("_page"), "anchor_line")
+    l = lines.withColumn("_l", F.coalesce(T.structure_key(F.col("text")), F.lit("")))
+    far = F.abs(F.col("pos") - F.col("anchor_line"))
+    score = (
+        F.when(F.col("_a") == "", 0).when(F.col("_l") == F.col("_a"), 120).when(F.startswith("_l", F.col("_a")), 85).when(F.contains("_l", F.col("_a")), 60)
+        .when((F.length("_l") >= 4) & F.contains("_a", F.col("_l")), 40).otherwise(0)
+        + F.when(F.col("_t") == "", 0).when(F.col("_l") == F.col("_t"), 100).when(F.startswith("_l", F.col("_t")), 70).when(F.contains("_l", F.col("_t")), 40).otherwise(0)
+        + F.when(F.col("role") == "head", 25).otherwise(0) + F.when((F.col("_page") != 0) & (F.col("page") == F.col("_page")), 15).otherwise(0)
+        + F.when(far == 0, 30).when(far <= 3, 20).when(far <= 40, 10).otherwise(0)
+    )
+    return _best(a.join(l, "doc_id").withColumn("score", score), least)
+
+
+def _best(scored: DataFrame, least: int) -> DataFrame:
+    best = scored.where(F.col("score") >= least).groupBy("doc_id", "anchor_id").agg(F.max_by(F.struct("pos", "score"), F.struct("score", -F.col("pos"))).alias("b"))
+    return best.select("doc_id", "anchor_id", "b.pos", "b.score")

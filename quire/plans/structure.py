@@ -54,6 +54,26 @@ def _(spark, d):
     return C.best_lines(anchors, lines).withColumn("pos", F.col("pos").cast("long"))
 
 
+@plans.add("jn_03_located", """WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+k AS (SELECT doc_id, pos, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS k FROM l), f AS (SELECT * FROM k WHERE pos = 1 AND k <> ''),
+a AS (SELECT doc_id, 0 AS n, substr(k, 1, 20) AS a, '' AS h FROM f UNION ALL SELECT doc_id, 1, '', '1. ' || k FROM f UNION ALL SELECT doc_id, 2, '1. ' || k, '' FROM f UNION ALL SELECT doc_id, 3, substr(k, 6, 30), substr(k, 1, 12) FROM f),
+b AS (SELECT doc_id, n, trim(regexp_replace(CASE WHEN starts_with(trim(a), 'l') AND contains(a, '|') THEN trim(substr(a, strpos(a, '|') + 1)) ELSE trim(a) END, '(…|\\.\\.\\.).*$', '', 's')) AS a, trim(h) AS h FROM a),
+s AS (SELECT doc_id, n, pos, CASE WHEN a = '' THEN 0 WHEN k = a THEN 120 WHEN starts_with(k, a) THEN 85 WHEN contains(k, a) THEN 60 WHEN length(k) >= 4 AND contains(a, k) THEN 40 ELSE 0 END
++ CASE WHEN h = '' THEN 0 WHEN k = h THEN 100 WHEN starts_with(k, h) THEN 70 WHEN contains(k, h) THEN 40 ELSE 0 END
++ CASE WHEN pos // 10 + 1 = 1 THEN 15 ELSE 0 END + CASE WHEN pos = 1 THEN 30 WHEN abs(pos - 1) <= 3 THEN 20 WHEN abs(pos - 1) <= 40 THEN 10 ELSE 0 END AS score FROM k JOIN b USING (doc_id))
+SELECT doc_id, n AS anchor_id, CAST(arg_max(pos, (score, -pos)) AS BIGINT) AS pos, max(score) AS score FROM s WHERE score >= 45 GROUP BY doc_id, n""")
+def _(spark, d):
+    """Second lines as anchors that are cut, numbered, or cut on both sides with a title of their own."""
+    lines = _paged(spark, d).withColumn("page", F.col("page") + 1)
+    k, cut = T.structure_key(F.col("text")), lambda low, n: F.substring("k", low, n)
+    made = F.array(*[F.struct(F.lit(n).alias("anchor_id"), a.alias("anchor"), t.alias("title")) for n, a, t in (
+        (0, cut(1, 20), F.lit("")), (1, F.lit(""), F.concat(F.lit("1. "), "k")), (2, F.concat(F.lit("1. "), "k"), F.lit("")), (3, cut(6, 30), cut(1, 12)),
+    )])
+    second = lines.where("pos = 1").select("doc_id", "page", F.col("pos").alias("anchor_line"), k.alias("k")).where("k <> ''")
+    anchors = second.select("doc_id", "page", "anchor_line", F.inline(made))
+    return C.found_lines(anchors, lines.withColumn("role", F.lit("body"))).withColumn("pos", F.col("pos").cast("long"))
+
+
 @plans.add("jn_04_phrases", """WITH t AS (SELECT page_id, unnest(range(len(x))) AS pos, unnest(x) AS w FROM (SELECT page_id, list_filter(string_split(trim(regexp_replace(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '[^a-z]+', ' ', 'g')), ' '), lambda v: v <> '') AS x FROM pages)),
 r AS (SELECT page_id, pos, w, lead(w) OVER (PARTITION BY page_id ORDER BY pos) AS v FROM t),
 q AS (SELECT * FROM (VALUES (1, 'the', 'the'), (2, 'of', 'the'), (3, 'thing', 'the')) x(phrase_id, a, b)),

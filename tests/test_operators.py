@@ -66,6 +66,19 @@ def test_whole_turns_are_titles(spark):
     assert titles <= turns and max(map(len, titles)) > 62
 
 
+def test_anchors_meet_every_line_of_their_document(spark):
+    lines = spark.createDataFrame([("d", 1, 0, "x", "body"), ("d", 1, 1, "Results:", "body"), ("d", 2, 2, "1. Introduction", "head"), ("d", 2, 3, "Introduction", "body"), ("d", 2, 4, None, "body")], "doc_id string, page int, pos int, text string, role string")
+    asked = spark.createDataFrame([("d", 1, "Results", 1)], "doc_id string, anchor_id int, title string, page int")
+    assert [tuple(r) for r in C.best_lines(asked, lines.drop("role")).collect()] == [("d", 1, 1, 65)]
+
+
+def test_found_lines(spark):
+    lines = spark.createDataFrame([("d", 1, 0, "x", "body"), ("d", 1, 1, "Results:", "body"), ("d", 2, 2, "1. Introduction", "head"), ("d", 2, 3, "We show", "body"), ("d", 2, 4, None, "body")], "doc_id string, page int, pos int, text string, role string")
+    anchors = [("d", 1, "introduction", "Introduction", 2, 40), ("d", 2, "L3| We show... that", None, 0, None), ("d", 3, None, "nothing", 2, 2), ("d", 4, "4 Results: what", "", 1, None), ("d", 5, "we show it", None, None, 3)]
+    got = C.found_lines(spark.createDataFrame(anchors, "doc_id string, anchor_id int, anchor string, title string, page int, anchor_line int"), lines)
+    assert {r.anchor_id: (r.pos, r.score) for r in got.collect()} == {1: (2, 60 + 40 + 25 + 15 + 10), 2: (3, 120), 3: (2, 25 + 15 + 30), 4: (1, 40 + 15), 5: (3, 40 + 30)}
+
+
 def test_levels(spark):
     assert [one(spark, t, C.level) for t in ("1 Introduction", "2.1 Results", "2D cultures", "Results", "IMPORTANT")] == [1, 2, 2, 1, 1]
 
