@@ -29,19 +29,20 @@ def dangling(edges: DataFrame, nodes: DataFrame, owner: str, end: str, node: str
     return broken(lost, owner, F.lit(True), "error", rule, F.coalesce(F.col(end).cast("string"), F.lit("")))
 
 
-def cycles(edges: DataFrame, owner: str, a: str, b: str, rounds: int = 100) -> DataFrame:
+def cycles(edges: DataFrame, owner: str, a: str, b: str) -> DataFrame:
     """(owner, node) on or behind a cycle: nodes without an incoming edge are peeled off until none is left or nothing changes.
 
-    Each round is one anti-join; as many rounds as the longest path is long, ``rounds`` at most (what is left then is reported).
+    Each round is one semi-join; as many rounds as the longest path is long. Give the session a folder for checkpoints: without one the
+    plan grows with every round.
     """
     left = edges.select(owner, F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     count = left.count()
-    for _ in range(rounds):
+    while count:
         into = left.select(owner, F.col("b").alias("a")).distinct()
         left = left.join(into, [owner, "a"], "left_semi")
         left = left.checkpoint() if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else left
         now = left.count()
-        if now in (0, count):
+        if now == count:
             break
         count = now
     return left.select(owner, F.col("a").alias("node")).unionByName(left.select(owner, F.col("b").alias("node"))).distinct()

@@ -173,6 +173,15 @@ def _(spark, d):
     return V.cycles(e, "owner", "a", "b")
 
 
+@plans.add("val_03_table_cycles", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS owner, l_suppkey % 5 AS a, l_partkey % 5 AS b FROM lineitem),
+r AS (SELECT owner, a, b FROM e UNION SELECT r.owner, r.a, e.b FROM r JOIN e ON e.owner = r.owner AND e.a = r.b)
+SELECT DISTINCT x.owner, y.b AS node FROM r x JOIN r y ON y.owner = x.owner AND y.a = x.a WHERE x.a = x.b""")
+def _(spark, d):
+    """Every order is a graph of its lines: what a cycle leads to, its own nodes included."""
+    e = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), (F.col("l_suppkey") % 5).alias("a"), (F.col("l_partkey") % 5).alias("b"))
+    return V.cycles(e, "owner", "a", "b")
+
+
 @plans.add("val_02_lead", "SELECT CAST(doc_id AS VARCHAR) AS owner, CASE WHEN length(text) < 100 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN length(text) < 100 THEN 'GIST_SHORT' ELSE 'ASCII_QUOTE' END AS rule, CASE WHEN length(text) < 100 THEN CAST(length(text) AS VARCHAR) ELSE '' END AS detail FROM documents WHERE length(text) < 100 OR contains(text, '\"')")
 def _(spark, d):
     docs = load(spark, d, "documents")

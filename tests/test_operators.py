@@ -122,6 +122,11 @@ def test_contains_join(spark):
     assert {tuple(r) for r in J.contains_join(texts, quotes).collect()} == {(1, 1), (2, 1), (4, 2), (1, 5), (2, 5)}
 
 
+def test_a_long_chain_is_no_cycle(spark):
+    e = spark.createDataFrame([("g", i, i + 1) for i in range(104)] + [("h", 1, 2), ("h", 2, 1)], "owner string, a int, b int")
+    assert {tuple(r) for r in V.cycles(e, "owner", "a", "b").collect()} == {("h", 1), ("h", 2)}
+
+
 def test_cycles_and_rules(spark):
     e = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("h", "a", "b")], "owner string, a string, b string")
     assert {tuple(r) for r in V.cycles(e, "owner", "a", "b").collect()} == {("g", "a"), ("g", "b"), ("g", "c")}
