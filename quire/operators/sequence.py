@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,3 +79,21 @@ def upper_median(values: Column) -> Column:
 def argmax(rows: DataFrame, keys: list[str], value: str, *best) -> DataFrame:
     """The value whose ``best`` tuple is greatest in each group."""
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*best)).alias(value))
+
+
+def positions(rows: DataFrame, by: str, buckets: int = 64) -> DataFrame:
+    """rows with their places from 1 in the order of a number: up, and down from the greatest; nulls come last in both.
+
+    Rows are ranked within ranges of values, and a range begins where the counts of those before it end, so no window spans the table.
+    The rows of one value are in one range; their order among themselves is that of a hash.
+    """
+    cuts = sorted(set(rows.approxQuantile(by, [k / buckets for k in range(1, buckets)], 0.001)))
+    bucket = F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(sum((F.when(F.col(by) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    dealt = rows.withColumn("_bucket", bucket)
+    known, base = 0, []
+    for r in sorted(dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.count(by).alias("known")).collect()):
+        base.append((r["_bucket"], sum(n for _, _, n in base), r["n"]))
+        known += r["known"]
+    before = reduce(lambda c, b: c.when(F.col("_bucket") == b[0], b[1]), base, F.when(F.lit(False), 0))
+    up = F.row_number().over(Window.partitionBy("_bucket").orderBy(by, F.xxhash64(*rows.columns))) + before
+    return dealt.withColumn("up", up.cast("long")).withColumn("down", F.when(F.col(by).isNull(), F.col("up")).otherwise(known + 1 - F.col("up"))).drop("_bucket")

@@ -194,11 +194,10 @@ def _(spark, d):
 
 @plans.add("jn_19_by_position", "SELECT count(*) AS n, count(*) FILTER (contains(a.text, b.lang)) AS hits FROM (SELECT row_number() OVER (ORDER BY doc_id) AS p, text FROM documents) a JOIN (SELECT row_number() OVER (ORDER BY doc_id DESC) AS p, lang FROM documents) b USING (p)")
 def _(spark, d):
-    docs = load(spark, d, "documents")
-    # ids run from 0 without gaps: a place is arithmetic, not a window over all rows
-    top = docs.agg(F.max("doc_id").alias("top"))
-    b = docs.crossJoin(F.broadcast(top)).select((F.col("top") - F.col("doc_id")).alias("doc_id"), F.col("lang").alias("l"))
-    return docs.join(b, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.col("l"))).alias("hits"))
+    docs = S.positions(load(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
+    a = docs.select(F.col("up").alias("p"), "text")
+    b = docs.select(F.col("down").alias("p"), F.col("lang").alias("l"))
+    return a.join(b, "p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.col("l"))).alias("hits"))
 
 
 @plans.add("jn_22_matches", "SELECT c_nationkey, count(o.o_custkey) AS hit, count(*) AS n, count(o.o_custkey) >= 0.8 * count(*) AS matches FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o_custkey = c_custkey GROUP BY c_nationkey")
@@ -460,6 +459,7 @@ def _(spark, d):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, x_: s + x_)
     a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"))
     j = a.join(e.select(F.col("vec_id").alias("b"), "label", "v"), "label").where("a < b")
+    return j.select("a", "b", F.round(dot("va", "v") / F.sqrt(dot("va", "va") * dot("v", "v")), 6).alias("cosine"))
 
 
 @plans.add("grf_04_cosine_whole", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0")
@@ -470,7 +470,6 @@ def _(spark, d):
     a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"))
     j = a.join(e.select(F.col("vec_id").alias("b"), "label", "v"), "label").where("a != b")
     return j.select("a", "b", F.round(dot("va", "v") / F.sqrt(dot("va", "va") * dot("v", "v")), 6).alias("cosine"))
-    return j.select("a", "b", F.round(dot("va", "v") / F.sqrt(dot("va", "va") * dot("v", "v")), 6).alias("cosine"))
 
 
 _TOPOLOGY = """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), n AS (SELECT s, count(*) AS n FROM e GROUP BY s),

@@ -79,6 +79,20 @@ def test_found_lines(spark):
     assert {r.anchor_id: (r.pos, r.score) for r in got.collect()} == {1: (2, 60 + 40 + 25 + 15 + 10), 2: (3, 120), 3: (2, 25 + 15 + 30), 4: (1, 40 + 15), 5: (3, 40 + 30)}
 
 
+def test_positions_with_gaps_copies_and_nulls(spark, tmp_path):
+    import oracle
+    from quire.plans import registry
+
+    ids = [7, 9, 9, 30, 31, 1000, None, 2, 5_000_000_000]
+    docs = spark.createDataFrame([(i, f"text {n}", str(n % 3)) for n, i in enumerate(ids)], "doc_id long, text string, lang string")
+    got = S.positions(docs, "doc_id", 4).collect()
+    assert sorted(r.up for r in got) == sorted(r.down for r in got) == list(range(1, 10))
+    known = [r for r in sorted(got, key=lambda r: r.up) if r.doc_id is not None]
+    assert [r.doc_id for r in known] == sorted(i for i in ids if i is not None) and all(r.up + r.down == 9 for r in known)
+    docs.where("doc_id > 0").dropDuplicates(["doc_id"]).coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    assert oracle.differences(registry.queries()["jn_19_by_position"](spark, str(tmp_path)), oracle.views(str(tmp_path)), registry.oracle_sql()["jn_19_by_position"]) == ""
+
+
 def test_levels(spark):
     assert [one(spark, t, C.level) for t in ("1 Introduction", "2.1 Results", "2D cultures", "Results", "IMPORTANT")] == [1, 2, 2, 1, 1]
 
