@@ -1,10 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and its lossless decoding, for merge-type vocabularies.
 
 Candidate merges wait in an agenda, best score first (the leftmost of equals). When its turn comes, a candidate is skipped if a keyed hash of
-(seed, variant, unit, place, piece) falls below ``dropout``; the same seed gives the same segmentation on any cluster and after any retry, another
+(seed, doc_id, number of the unit in the text, place, piece) falls below ``dropout``; the same seed gives the same segmentation on any cluster and after any retry, another
 seed another one. With dropout 0 ids are the library's own. No piece goes beyond a space in front of it, so texts are taken
-apart into units (spaces and what follows them); each occurrence of a unit gets one of ``VARIANTS`` draws by a hash of (seed,
-doc_id, its number in the text), and each distinct (unit, variant) is worked out once.
+apart into units (spaces and what follows them), and every occurrence of a unit has draws of its own. What comes of them depends on the unit and on which of
+its candidates, in order of their turns, are skipped: each distinct (unit, skipped turns) is worked out once and remembered, with the candidates that came up.
 
 Characters without a piece become bytes, and so does U+2581 itself (which the library would decode to a space): decoding gives every text
 back exactly. Null and empty texts have no ids; repeated rows with one doc_id get the same ids; a null doc_id counts as 0; empty
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Memo, coded, mix, pick, ragged, raw, steps, tokenizer_file
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 SPACE_MARK = "▁"
 #: No candidate. Units longer than LONG characters are worked on alone.
 NONE, LONG = (1 << 31) - 1, 40
@@ -63,7 +63,7 @@ class Pieces:
         self.spelled_at = np.cumsum(self.spelled_n) - self.spelled_n
         self.below, self.seed = round(dropout * 2**16), seed
         self._pairs()
-        self.memo = Memo(self._units, np.int32)
+        self.memo = Memo(self._traced, np.int64)
 
     def unit(self, text: str, key: int) -> list[int]:
         """Ids of one unit. key: what its draws depend on. An agenda's entry is order << 24 | place of the left symbol."""
@@ -143,8 +143,14 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.pair_order[at], NONE), self.pair_made[at]
 
-    def many(self, texts: list[str], length: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """unit() for many units of equal length, all of them a step at a time: each takes the best entry of its own agenda."""
+    def skipped(self, keys: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return (((keys + place * 0x1E3779B1 ^ piece * 0x5EBCA6B) & 0x7FFFFFFF) * 0x2C1B3C6D >> 15) & 0xFFFF < self.below
+
+    def many(self, texts: list[str], length: int, keys: np.ndarray | None, skips: np.ndarray | None = None, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """unit() for many units of equal length, all of them a step at a time: each takes the best entry of its own agenda.
+
+        skips: instead of keys, whether a unit (row) skips in a turn (column). trace: takes (units, places and pieces of candidates) of every turn.
+        """
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         if (self.letter[points] < 0).any():
             self._learn(set(points[self.letter[points] < 0].tolist()))
@@ -156,7 +162,7 @@ class Pieces:
         order, made = np.full((rows, length), NONE, np.int64), np.zeros((rows, length), np.int64)
         if length > 1:
             order[:, :-1], made[:, :-1] = self._look(symbol[:, :-2], symbol[:, 1:-1])
-        going = np.arange(rows)
+        going, turn = np.arange(rows), 0
         while True:
             i = order[going].argmin(axis=1)
             some = order[going, i] < NONE
@@ -165,8 +171,11 @@ class Pieces:
                 break
             piece = made[going, i]
             order[going, i] = NONE
-            if self.below:
-                skip = (((keys[going] + i * 0x1E3779B1 ^ piece * 0x5EBCA6B) & 0x7FFFFFFF) * 0x2C1B3C6D >> 15) & 0xFFFF < self.below
+            if trace is not None:
+                trace.append((going, i << 24 | piece))
+            if skips is not None or self.below:
+                skip = skips[going, turn] if skips is not None else self.skipped(keys[going], i, piece)
+                turn += 1
                 r, i, piece = going[~skip], i[~skip], piece[~skip]
             else:
                 r = going
@@ -211,6 +220,72 @@ class Pieces:
             out[ragged(starts[own], lengths[own])] = flat
         return out, lengths
 
+    def _traced(self, nodes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """nodes: a unit's bytes, 255, and a byte for each skipped turn. Of each: the count of its ids, ids, and all candidates (place << 24 | piece)."""
+        cut = [n.index(b"\xff") for n in nodes]
+        texts = [n[:c].decode() for n, c in zip(nodes, cut, strict=True)]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        lengths, parts = np.zeros(len(nodes), np.int64), []
+        by_size = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[by_size], prepend=-1)).tolist()
+        for low, high in zip(cuts, [*cuts[1:], len(nodes)], strict=True):
+            size = int(sizes[by_size[low]])
+            for at in range(low, high, 5_000):
+                own = by_size[at : min(at + 5_000, high)]
+                # no more turns than first candidates and two for each merge
+                skips, trace = np.zeros((len(own), 3 * size + 1), bool), []
+                for k, x in enumerate(own.tolist()):
+                    if len(nodes[x]) > cut[x] + 1:
+                        skips[k, list(nodes[x][cut[x] + 1 :])] = True
+                ids, n = self.many([texts[x] for x in own.tolist()], size, None, skips, trace)
+                row = np.concatenate([np.arange(len(own)), np.repeat(np.arange(len(own)), n), *(t[0] for t in trace)])
+                value = np.concatenate([n, ids, *(t[1] for t in trace)])
+                order = np.argsort(row, kind="stable")
+                lengths[own] = np.bincount(row, minlength=len(own))
+                parts.append((own, value[order]))
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.int64)
+        for own, flat in parts:
+            out[ragged(starts[own], lengths[own])] = flat
+        return out, lengths
+
+    def draws(self, units: list[bytes], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their counts of occurrences of units, each with a key of its own: as unit() has them."""
+        lengths, parts = np.zeros(len(codes), np.int64), []
+        texts = [u.decode() for u in units]
+        long = np.fromiter((len(t) > LONG for t in texts), bool, len(texts))
+        for x in np.flatnonzero(long[codes]).tolist():
+            flat = np.array(self.unit(texts[codes[x]], int(keys[x])), np.int64)
+            lengths[x] = len(flat)
+            parts.append((np.array([x]), flat))
+        which = np.flatnonzero(~long[codes])
+        short = np.flatnonzero(~long)
+        nodes = [units[x] + b"\xff" for x in short.tolist()]
+        node, after = (np.cumsum(~long) - 1)[codes[which]], np.zeros(len(which), np.int64)
+        while len(which):
+            places = self.memo.places(nodes)[node]
+            flat, start = self.memo.flat, self.memo.start[places]
+            n = flat[start]
+            begin = start + 1 + n + after
+            turns = start + self.memo.length[places] - begin if self.below else np.zeros(len(which), np.int64)
+            came = flat[ragged(begin, turns)]
+            hit = np.flatnonzero(self.skipped(np.repeat(keys[which], turns), came >> 24, came & 0xFFFFFF))
+            ends = np.cumsum(turns)
+            owner, first = np.unique(np.searchsorted(ends, hit, "right"), return_index=True)
+            turn = hit[first] - (ends - turns)[owner] + after[owner]
+            done = np.ones(len(which), bool)
+            done[owner] = False
+            lengths[which[done]] = n[done]
+            parts.append((which[done], flat[ragged(start[done] + 1, n[done])]))
+            pairs, again = np.unique(node[owner] << 8 | turn, return_inverse=True)
+            nodes = [nodes[x >> 8] + bytes([x & 255]) for x in pairs.tolist()]
+            which, node, after = which[owner], again, turn + 1
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.int32)
+        for own, flat in parts:
+            out[ragged(starts[own], lengths[own])] = flat
+        return out, lengths
+
     def encode(self, column: pa.Array, doc_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of texts, and the count of each."""
         column = pa.compute.fill_null(column, "").cast(pa.string())
@@ -227,23 +302,11 @@ class Pieces:
         per_doc = np.diff(first)
         nth = np.arange(len(starts)) - np.repeat(first[:-1], per_doc)
         keys = pa.compute.fill_null(doc_ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(np.uint64)
-        if self.below:
-            draw = (mix(np.repeat(mix(keys, self.seed), per_doc) + nth.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % VARIANTS
-        else:
-            draw = np.zeros(len(starts), np.int64)
-        both = codes.astype(np.int64) * VARIANTS + draw
-        there = np.zeros(len(dictionary) * VARIANTS, bool)
-        there[both] = True
-        distinct = np.flatnonzero(there)
-        texts = dictionary.to_pylist()
-        held = self.memo.places([texts[d // VARIANTS] + bytes([d % VARIANTS]) for d in distinct.tolist()])
-        at = np.zeros(len(there), np.int64)
-        at[distinct] = held
-        places = at[both]
-        lengths = self.memo.length[places]
+        draw = (mix(np.repeat(mix(keys, self.seed), per_doc) + nth.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+        ids, lengths = self.draws(dictionary.to_pylist(), codes.astype(np.int64), draw)
         keep = np.repeat(given, per_doc)
+        ids = ids[np.repeat(keep, lengths)]
         lengths = np.where(keep, lengths, 0)
-        ids = self.memo.flat[ragged(self.memo.start[places], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[first])
 

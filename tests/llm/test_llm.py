@@ -125,6 +125,20 @@ def test_dropout(spark):
     assert flat.tolist() == [i for x in alone for i in x] and lengths.tolist() == list(map(len, alone))
 
 
+def test_every_occurrence_has_its_own_draws():
+    import pyarrow as pa
+
+    of = pieces.Pieces("piece_bpe_32k.model", 0.1, 5)
+    units = [b" internationalisation", b" Hello", " é가😀".encode(), b" " + b"long" * 12]
+    codes, keys = np.arange(2000) % 4, np.random.default_rng(2).integers(0, 2**31, 2000)
+    flat, lengths = of.draws(units, codes, keys)
+    alone = [of.unit(units[c].decode(), int(k)) for c, k in zip(codes, keys, strict=True)]
+    assert flat.tolist() == [i for x in alone for i in x] and lengths.tolist() == list(map(len, alone))
+    ids, counts = of.encode(pa.array(["internationalisation"] * 2000), pa.array(range(2000)))
+    ends = np.cumsum(counts)
+    assert len({tuple(ids[z - n : z].tolist()) for z, n in zip(ends, counts, strict=True)}) > 8
+
+
 # 5
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
