@@ -1,7 +1,7 @@
 """Shared ground: tables in the cluster's shared folder, and vectorised splitting of Arrow text into words.
 
 Every function that handles text here treats a null text as an empty one, whole texts are used whatever their length,
-and sub-batches keep a worker's memory bounded by the largest single document plus ``STEP`` bytes of others.
+and sub-batches keep a worker's memory bounded by the largest single document, ``STEP`` bytes of others and the bytes a ``Memo`` may hold.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +27,14 @@ STEP = 3_000_000
 # ---------------------------------------------------------------- shared folder
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. A temporary one only where that is unset and driver and executors are one machine's."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -45,7 +49,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back: lineage ends here, executors may be lost."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    context, path = df.sparkSession.sparkContext, getattr(df, "_stored", None)
+    if path:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def width(df: DataFrame) -> int:
@@ -55,7 +69,42 @@ def width(df: DataFrame) -> int:
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, by exact name where several differ in case alone; extra columns never get in the way."""
-    return df.select(*[df[f"`{c}`"] if df.columns.count(c) == 1 else F.col(f"`{c}`") for c in columns])
+    if all(sum(c.lower() == name.lower() for name in df.columns) == 1 for c in columns):
+        return df.select(*[F.col(f"`{c}`").alias(c) for c in columns])
+    places = [df.columns.index(c) for c in columns]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(c) for i, c in zip(places, columns, strict=True)])
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df and a column ``name``: a number that no other row has and that is the same whenever the rows are read again.
+
+    A table of files has the place of each row in its file; what else comes is stored first.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            where = df.select("*", F.col("_metadata.file_path").alias(f"{name}_path"), F.col("_metadata.row_index").alias(name))
+        except AnalysisException:  # other files than Parquet's don't number their rows
+            return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+        # a row for each file
+        files = sorted(r[0] for r in where.select(f"{name}_path").distinct().collect())
+        if len(files) < 2:
+            return where.drop(f"{name}_path")
+        order = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{name}_path string, {name}_file long")
+        return where.join(F.broadcast(order), f"{name}_path").withColumn(name, F.col(f"{name}_file") * F.lit(1 << 40) + F.col(name)).drop(f"{name}_path", f"{name}_file")
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def unused(name: str, taken) -> str:
+    """name, or name and the first number that makes it another than all that are taken (whatever their case)."""
+    taken = {t.lower() for t in taken}
+    tries = [name, *(f"{name}_{i}" for i in range(2, len(taken) + 3))]
+    return next(t for t in tries if t.lower() not in taken)
+
+
+def spelled(fields) -> str:
+    """A schema as text; fields: Spark's own, or pairs of name and type."""
+    pairs = [f if isinstance(f, tuple) else (f.name, f.dataType.simpleString()) for f in fields]
+    return ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in pairs)
 
 
 # ---------------------------------------------------------------- Arrow text as bytes
@@ -135,6 +184,32 @@ WORD = table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
 
 
+#: Fixed values, kinds of bytes: 1 ASCII letters, 2 digits, 3 printable ASCII marks, 4 the first byte of U+00C0 to U+00FF, 5 bytes that go on a character, 6 any others.
+KIND = np.full(256, 6, np.uint8)
+for _low, _high, _kind in ((0x21, 0x7E, 3), (0x30, 0x39, 2), (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xC3, 4), (0x80, 0xBF, 5)):
+    KIND[_low : _high + 1] = _kind
+
+
+def plain_runs(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs [start, end) of body are plain: printable ASCII without apostrophes and ``<|``, and letters of Latin-1; and the kind of each byte
+    of body in which all letters of such runs are 1. How vocabularies divide plain runs depends on these kinds alone."""
+    kind = KIND[body]
+    odd = (kind == 6) | (body == 39)
+    lead = np.flatnonzero(kind == 4)
+    follow = np.minimum(lead + 1, len(body) - 1)
+    # the two signs among the letters of Latin-1 are no letters
+    letter = (kind[follow] == 5) & (body[follow] != 0x97) & (body[follow] != 0xB7)
+    odd[lead[~letter]] = True
+    on = kind == 5
+    on[follow[letter]] = False
+    odd |= on
+    kind[lead[letter]] = kind[follow[letter]] = 1
+    if len(body) > 1:
+        odd[:-1] |= (body[:-1] == 60) & (body[1:] == 124)
+    sums = np.concatenate([[0], np.cumsum(odd)])
+    return sums[ends] == sums[starts], kind
+
+
 class Words:
     """The words of a step: lower-cased (A-Z), runs of ``WORD`` bytes. codes[first[d]:first[d + 1]] are document d's."""
 
@@ -158,38 +233,106 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """A bounded memory of a pure function of byte strings whose values are pieces of one flat array.
+    """A memory of a pure function of byte strings whose values are pieces of one flat array, bounded in bytes.
 
-    When more than ``most`` strings are held it starts anew; results never depend on what it holds.
+    Strings live in two generations. One that is asked for moves to the younger; when that holds half of ``most`` bytes the older is forgotten and the
+    younger takes its place, so what is in use stays. The strings of one call are always held together: memory is ``most`` and
+    one step's own, however long single strings are. Results never depend on what is held.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = 400_000):
-        self.make, self.dtype, self.most = make, dtype, most
+    #: Bytes that a string takes besides itself and its value: the object, its place in the dictionary, start and length.
+    EACH = 170
+
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = 64_000_000):
+        self.make, self.dtype, self.most = make, np.dtype(dtype), most
         self.clear()
 
     def clear(self) -> None:
+        self._older: tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray] = ({}, np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self._begin()
+
+    def _begin(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.flat, self.used, self.held = np.zeros(1 << 16, self.dtype), 0, 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _put(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        have, need = len(self.at), len(self.at) + len(words)
+        while len(self.start) < need:
+            self.start, self.length = np.concatenate([self.start, self.start * 0]), np.concatenate([self.length, self.length * 0])
+        if len(self.flat) < self.used + len(flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, len(flat)) + len(flat), self.dtype)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.length[have:need] = lengths
+        self.start[have:need] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.at.update(zip(words, range(have, need), strict=True))
+        self.held += self.EACH * len(words) + sum(map(len, words)) + flat.nbytes
+        return np.arange(have, need)
+
     def places(self, words: list[bytes]) -> np.ndarray:
-        if len(self.at) > self.most:
-            self.clear()
-        new = [w for w in words if w not in self.at]
-        if new:
-            flat, lengths = self.make(new)
-            have = len(self.at)
-            need = have + len(new)
-            while len(self.start) < need:
-                self.start, self.length = np.concatenate([self.start, self.start * 0]), np.concatenate([self.length, self.length * 0])
-            while len(self.flat) < self.used + len(flat):
-                self.flat = np.concatenate([self.flat, self.flat * 0])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.length[have:need] = lengths
-            self.start[have:need] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(flat)
-            self.at.update(zip(new, range(have, need), strict=True))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        """Where each of these distinct strings has its value: flat[start[place]:][:length[place]], until the next call."""
+        if self.held > self.most // 2:
+            self._older = self.at, self.flat, self.start, self.length
+            self._begin()
+        out = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        for make in (False, True):
+            missing = np.flatnonzero(out < 0)
+            if not len(missing):
+                break
+            wanted = [words[i] for i in missing.tolist()] if len(missing) < len(words) else words
+            if make:
+                out[missing] = self._put(wanted, *self.make(wanted))
+            elif self._older[0]:
+                at, flat, start, length = self._older
+                old = np.fromiter(map(at.get, wanted, repeat(-1)), np.int64, len(wanted))
+                known = np.flatnonzero(old >= 0)
+                if len(known):
+                    old = old[known]
+                    out[missing[known]] = self._put([wanted[i] for i in known.tolist()], flat[ragged(start[old], length[old])], length[old])
+        return out
+
+
+class Numbers:
+    """A fixed mapping of 64-bit keys to places 0, 1, ... in the order given, as a table with open addressing that is read for many keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = np.asarray(keys).astype(np.uint64)
+        self.shift = np.uint64(64 - max(4, int(len(keys)).bit_length() + 2))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys, self.place = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        rest, at = np.arange(len(keys)), self._home(keys)
+        self.probes = 0
+        while len(rest):
+            self.probes += 1
+            free = self.place[at] < 0
+            slots, first = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[slots], self.place[slots] = keys[rest[won]], rest[won]
+            left = np.ones(len(rest), bool)
+            left[won] = False
+            rest, at = rest[left], (at[left] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key (of any shape), or -1."""
+        shape, keys = keys.shape, keys.astype(np.uint64).ravel()
+        at = self._home(keys)
+        found = self.place[at]
+        off = np.flatnonzero((self.keys[at] != keys) & (found >= 0))
+        found[off] = -1
+        at = at[off]
+        while len(off):
+            at = (at + 1) & self.mask
+            place = self.place[at]
+            same = self.keys[at] == keys[off]
+            found[off[same]] = place[same]
+            on = ~same & (place >= 0)
+            off, at = off[on], at[on]
+        return found.reshape(shape)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -12,6 +12,9 @@ table gives an empty result, and extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,61 +26,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import SPACE, Memo, coded, pick, ragged, raw, runs, shared_path, steps, stored, tokenizer_file, width
+from quire.llm.common import LOWER, Memo, coded, pick, plain_runs, ragged, raw, runs, shared_path, steps, stored, table, tokenizer_file, width
 
 LENGTH, BATCH, END = 2048, 64, 1
 #: Words per call of the library when unseen words are encoded together.
 TOGETHER = 4000
+#: Fixed value: the ASCII characters that this vocabulary's rules take for white space.
+DROPPED = table((9, 13), (32, 32))
+#: Fixed value: lower case of the second bytes of U+00C0 to U+00DE.
+_LATIN = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 0x80) & (np.arange(256) <= 0x9E)).astype(np.uint8)
+#: What the library's rules make one word of, in lower case.
+_UNIT = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class Encoder:
-    """The library's ids of whole texts, each distinct word encoded once.
+    """The library's ids of whole texts, each distinct word encoded once in a while.
 
-    Only for vocabularies whose rules drop white space before merging: then ids of a text are the ids of its words in turn.
+    Only for vocabularies whose rules lower the case, drop white space, part letters from marks and single digits, and close each word with a
+    piece of its own: then ids of a text are the ids of its words in turn. Plain words (see ``plain_runs``) are parted here, and the library's
+    model gets many of them at a time; whatever else stands between white space goes through all of the library's rules.
     """
 
     def __init__(self, name: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(tokenizer_file(name))
-        special = sorted(i for i, t in self.library.get_added_tokens_decoder().items() if t.special)
-        self.divider = special[0] if special else None
-        self.between = self.library.id_to_token(self.divider) if special else ""
-        self.marks = [self.library.id_to_token(i).encode() for i in special]
+        with open(tokenizer_file(name), encoding="utf-8") as f:
+            rules = json.load(f)
+        self.library = Tokenizer.from_str(json.dumps(rules))
+        #: the same model behind a division at white space alone
+        only_space = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.model = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": only_space, "added_tokens": []}))
+        end = rules["model"].get("end_of_word_suffix")
+        if not end:
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        self.closes = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.closes[[i for t, i in rules["model"]["vocab"].items() if t.endswith(end)]] = True
         self.memo = Memo(self._words, np.uint32)
 
-    def _one(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words are encoded many at a time with a special token between them; where that can't be told apart, one by one."""
-        flat, lengths = [], []
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            if self.between and not any(m in w for m in self.marks for w in part if b"<" in w):
-                ids = self._one(self.between.join(w.decode() for w in part))
-                cuts = np.flatnonzero(ids == self.divider)
-                if len(cuts) == len(part) - 1:
-                    bounds = np.concatenate([[-1], cuts, [len(ids)]])
-                    flat.append(ids[ids != self.divider])
-                    lengths.append(np.diff(bounds) - 1)
-                    continue
-            each = [self._one(w.decode()) for w in part]
-            flat += each
-            lengths.append(np.array([len(x) for x in each], np.int64))
-        return np.concatenate(flat), np.concatenate(lengths)
+        plain = np.fromiter((_UNIT.fullmatch(w) is not None for w in words), bool, len(words))
+        lengths, parts = np.zeros(len(words), np.int64), []
+        which = np.flatnonzero(plain)
+        for at in range(0, len(which), TOGETHER):
+            own = which[at : at + TOGETHER]
+            ids = np.array(self.model.encode_batch_fast([b" ".join([words[i] for i in own.tolist()]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            lengths[own] = np.diff(ends, prepend=0)
+            parts.append((own, ids))
+        for i in np.flatnonzero(~plain).tolist():
+            ids = np.array(self.library.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
+            lengths[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        starts, out = np.cumsum(lengths) - lengths, np.zeros(int(lengths.sum()), np.uint32)
+        for own, ids in parts:
+            out[ragged(starts[own], lengths[own])] = ids
+        return out, lengths
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of a column of texts, and the count of ids of each."""
         body, offsets = raw(column)
-        inside = ~SPACE[body]
+        inside = ~DROPPED[body]
         starts, ends = runs(inside, offsets)
-        codes, dictionary = coded(body, inside, starts, ends)
+        plain, kind = plain_runs(body, starts, ends)
+        own = ragged(starts[plain], (ends - starts)[plain])  # bytes of plain words
+        low = body.copy()
+        low[own] = LOWER[body[own]]
+        second = own[body[own] >= 0x80]
+        low[second] = _LATIN[body[second]]
+        first = np.zeros(len(body), bool)
+        first[own[1:]] = (kind[own[1:]] != kind[own[1:] - 1]) | (kind[own[1:]] == 2)
+        first[starts] = True
+        begin = np.flatnonzero(first)
+        # a unit ends where the next one begins, or with its word
+        stop = np.append(begin[1:], len(body))
+        word = np.searchsorted(starts, begin, "right") - 1
+        stop = np.minimum(stop, ends[word]) if len(begin) else begin
+        codes, dictionary = coded(low, inside, begin, stop)
         places = self.memo.places(dictionary.to_pylist())[codes]
         lengths = self.memo.length[places]
         ids = self.memo.flat[ragged(self.memo.start[places], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, np.diff(total[np.searchsorted(starts, offsets)])
+        return ids, np.diff(total[np.searchsorted(begin, offsets)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -92,7 +122,14 @@ def encoder(name: str) -> Encoder:
 
 # ---------------------------------------------------------------- files
 
+#: How Arrow calls what Hadoop's file systems are called; a mounted store is a folder.
+_SCHEMES = (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/"), ("wasbs://", "abfss://"))
+
+
 def _fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    for theirs, ours in _SCHEMES:
+        if uri.startswith(theirs):
+            uri = ours + uri[len(theirs) :]
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
