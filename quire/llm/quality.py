@@ -2,12 +2,14 @@
 posterior labels train a hashed linear scorer.
 
 Labellers look at one property each and say good (1), bad (0) or nothing (-1). Their accuracies per class and the share of good
-documents come from EM over the counts of all vote patterns (3 ** labellers at most) over all documents. A sample of at most ``SAMPLE`` documents, taken
-evenly over patterns in the order of a hash, then trains a logistic scorer on hashed features of the text (character shapes and
-repetition), weighted by the posterior; a document's score is that scorer's, so it also ranks documents on which all labellers are silent.
+documents come from EM over the counts of all vote patterns (3 ** labellers at most) over all documents. A sample of at most ``SAMPLE`` different texts, taken
+evenly over patterns in the order of a hash of the text, then trains a logistic scorer, weighted by the posterior. Its features are hashed into ``BUCKETS``:
+words, character trigrams of words (each as shares of the text's), and bins of the measures. A document's score is that scorer's, so it also ranks
+documents on which all labellers are silent.
 
 Null and empty texts have no features: every labeller is silent and the score is that of the bias alone, which keeps them; repeated rows get equal
-scores; empty tables give empty results; extra columns are kept by ``score`` as they are. Whole texts are used.
+scores, whatever their doc_id; empty tables give empty results; extra columns are kept by ``score`` as they are, and where one is called as the score,
+the score gets a number behind its name. Whole texts are used.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import SPACE, Words, mix, pick, raw, steps, stored, table
+from quire.llm.common import SPACE, Words, mix, pick, ragged, raw, spelled, steps, stored, table, unused
 
-SAMPLE, BUCKETS, KEEP = 20_000, 1 << 12, 0.5
+SAMPLE, BUCKETS, KEEP = 6_000, 1 << 12, 0.5
+#: How much the text's own features weigh beside a bin of a measure.
+SCALE = 12.0
 #: Byte classes.
 UPPER, LOWER_, DIGIT, PLAIN = table((65, 90)), table((97, 122)), table((48, 57)), table((9, 13), (32, 32), (39, 39), (44, 44), (46, 46))
 OTHER = ~(table((0x80, 0xFF)) | UPPER | LOWER_ | DIGIT | PLAIN | SPACE)
 MEASURES = ("words", "upper", "symbol", "digit", "again", "stutter", "variety", "length")
 
 
-def measures(column: pa.Array) -> np.ndarray:
+def measures(column: pa.Array, words: Words | None = None) -> np.ndarray:
     """A row of MEASURES for each text."""
     body, offsets = raw(column)
     n = np.diff(offsets)
@@ -40,7 +44,7 @@ def measures(column: pa.Array) -> np.ndarray:
         return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(of, 1)
 
     letters = share(UPPER[body] | LOWER_[body], np.ones_like(n))
-    words = Words(column)
+    words = words or Words(column)
     count, first = words.counts.astype(np.float64), words.first
     doc = np.repeat(np.arange(len(n)), words.counts)
     same = np.zeros(len(doc), np.int64)
@@ -118,85 +122,144 @@ def em(pattern: np.ndarray, count: np.ndarray, rounds: int = 60) -> dict:
     return {"prior": prior, "hit": hit, "accuracy": accuracy, "posterior": dict(zip(pattern.tolist(), post.tolist(), strict=True))}
 
 
-def hashed(column: pa.Array, m: np.ndarray) -> np.ndarray:
-    """Hashed features of each text, as rows of BUCKETS columns are too wide: (len, F) numbers into BUCKETS, all of weight 1 (several bins per measure)."""
+def bins(m: np.ndarray) -> np.ndarray:
+    """Buckets of the measures of each text: two for each measure, a fine bin and a coarse one, so that rare values lean on their neighbours."""
     rows = []
     for j, name in enumerate(MEASURES):
         x = m[:, j]
-        bins = np.floor(np.log2(1 + x) * 2 if name in ("words", "length", "variety") else np.sqrt(np.clip(x, 0, 1)) * 20).astype(np.int64)
+        at = np.floor(np.log2(1 + x) * 2 if name in ("words", "length", "variety") else np.sqrt(np.clip(x, 0, 1)) * 20).astype(np.int64)
         salt = zlib.crc32(name.encode())
-        rows.append(mix(bins.astype(np.uint64) + np.uint64(salt)) % np.uint64(BUCKETS))
-        # the same again in coarse bins, so that rare values lean on their neighbours
-        rows.append(mix((bins // 4).astype(np.uint64) + np.uint64(salt ^ 0xFFFF)) % np.uint64(BUCKETS))
-    return np.stack(rows, axis=1).astype(np.int64) if len(m) else np.zeros((0, 2 * len(MEASURES)), np.int64)
-
-
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 200, rate: float = 0.5) -> np.ndarray:
-    """Logistic regression on soft labels, full batches with momentum; the last weight is the bias."""
-    w, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    total = max(weight.sum(), 1e-9)
-    for _ in range(epochs):
-        z = w[x].sum(axis=1) + w[-1]
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight / total
-        grad = np.bincount(x.ravel(), weights=np.repeat(g, x.shape[1]), minlength=BUCKETS + 1)
-        grad[-1] = g.sum()
-        v = 0.9 * v - rate * (grad + 1e-5 * w)
-        w = w + v
-    return w
+        rows.append(mix(at.astype(np.uint64) + np.uint64(salt)) % np.uint64(BUCKETS))
+        rows.append(mix((at // 4).astype(np.uint64) + np.uint64(salt ^ 0xFFFF)) % np.uint64(BUCKETS))
+    return np.stack(rows, axis=1).astype(np.int64)
+
+
+class Spelling:
+    """Hashed features of the distinct words of a step: each word's own bucket and those of its trigrams (with its borders)."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        spelled = words.dictionary.to_pylist()
+        whole = np.frombuffer(b"\0" + b"\0".join(spelled) + b"\0", np.uint8).astype(np.uint64) if spelled else np.zeros(0, np.uint64)
+        size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        #: trigrams of a word of n bytes: n, the first of them with the border in front
+        self.first = np.cumsum(size + 1) - (size + 1)
+        self.size = size
+        hashes = mix(whole[:-2] + whole[1:-1] * np.uint64(257) + whole[2:] * np.uint64(66049), 21) if len(whole) > 2 else np.zeros(0, np.uint64)
+        self.trigram = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+        # words are told apart by the sum of their trigrams' hashes, each with its place
+        own = ragged(self.first, size)
+        place = own - np.repeat(self.first, size)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes[own] + place.astype(np.uint64), 22), dtype=np.uint64)])
+        ends = np.cumsum(size)
+        self.word = (mix(sums[ends] - sums[ends - size], 23) % np.uint64(BUCKETS)).astype(np.int64)
+        self.own = own
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """Of each text, SCALE times the mean of weight over its words and, within them, their trigrams."""
+        w, size = self.words, self.size
+        total = np.concatenate([[0.0], np.cumsum(weight[self.trigram[self.own]])])
+        ends = np.cumsum(size)
+        each = weight[self.word] + (total[ends] - total[ends - size]) / np.maximum(size, 1)
+        doc = np.repeat(np.arange(len(w.counts)), w.counts)
+        return SCALE * np.bincount(doc, weights=each[w.codes] if len(doc) else None, minlength=len(w.counts)) / np.maximum(w.counts, 1)
+
+    def rows(self) -> np.ndarray:
+        """The features that ``sums`` weighs, as a dense row for each text."""
+        w, out = self.words, np.zeros((len(self.words.counts), BUCKETS), np.float32)
+        for d in range(len(w.counts)):
+            codes, n = np.unique(w.codes[w.first[d] : w.first[d + 1]], return_counts=True)
+            if len(codes):
+                size = self.size[codes]
+                at = np.concatenate([self.word[codes], self.trigram[ragged(self.first[codes], size)]])
+                value = np.concatenate([n, np.repeat(n / size, size)])
+                out[d] = np.bincount(at, value, BUCKETS) * (SCALE / n.sum())
+        return out
+
+
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 150, rate: float = 0.05, least: float = 1e-4) -> np.ndarray:
+    """Logistic regression on soft labels over dense rows, full batches with Adam; the last weight is the bias."""
+    w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
+    share = (weight / max(weight.sum(), 1e-9)).astype(np.float32)
+    for step in range(1, epochs + 1):
+        z = x @ w[:-1] + w[-1]
+        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y).astype(np.float32) * share
+        grad = np.append(g @ x + least * w[:-1], g.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w.astype(np.float64)
 
 
 class Scorer:
     def __init__(self, weight: np.ndarray, labels: dict):
         self.weight, self.labels = weight, labels
 
-    def __call__(self, column: pa.Array) -> np.ndarray:
-        m = measures(column)
-        z = self.weight[hashed(column, m)].sum(axis=1) + self.weight[-1]
+    def both(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the posteriors of the labellers' votes."""
+        words = Words(column)
+        m = measures(column, words)
+        z = self.weight[bins(m)].sum(axis=1) + Spelling(words).sums(self.weight) + self.weight[-1]
         z = np.where(m[:, 0] > 0, z, max(self.weight[-1], 1.0))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        pattern, where = np.unique(patterns(votes(m)), return_inverse=True)
+        known = np.array([self.labels["posterior"].get(int(k), self.labels["prior"]) for k in pattern], np.float64)
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40))), known[where]
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        return self.both(column)[0]
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Scorer:
-    """One pass over all documents for votes and features (a few numbers a row, stored), then counts of patterns."""
-    base = pick(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """One pass over all documents for votes (two numbers a row, stored) and counts of patterns; then one that reads the sample's texts."""
+    base = pick(docs, text).select(F.col(text).alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in steps(b):
-                m = measures(part.column(1))
-                x = hashed(part.column(1), m).astype(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(patterns(votes(m)).astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int16()))], names=["doc_id", "pattern", "at"],
-                )
+                found = patterns(votes(measures(part.column(1)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["at", "pattern"])
 
-    seen = stored(base.mapInArrow(look, "doc_id long, pattern int, at array<short>"), "quality-votes")
+    at = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11)).alias("at")
+    seen = stored(base.select(at, "text").mapInArrow(look, "at long, pattern int"), "quality-votes")
     counted = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** labellers rows at most
     pattern, count = np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], np.float64)
     if not len(pattern):
         return Scorer(np.zeros(BUCKETS + 1), em(np.zeros(1, np.int64), np.zeros(1)))
     labels = em(pattern, count)
-    # an equal part of the sample for every pattern; a task keeps that many of each at most before rows are shuffled
-    each = max(50, SAMPLE // len(pattern))
-    chance = {int(p): min(1.0, 1.5 * each / n) for p, n in zip(pattern, count, strict=True)}
+    # an equal part of the sample for every pattern: of its different texts, those with the least hashes. A task keeps that many of each before rows are shuffled
+    each = max(1, SAMPLE // len(pattern))
+    chance = {int(p): min(1.0, 50.0 * each / n) for p, n in zip(pattern, count, strict=True)}
     rates = F.create_map(*[F.lit(v) for pair in chance.items() for v in pair])
-    hash_ = F.xxhash64("doc_id", F.lit(11))
-    part = seen.where((F.pmod(hash_, F.lit(1 << 30)) / float(1 << 30)) < rates[F.col("pattern")])
-    order = Window.partitionBy("pattern").orderBy(hash_, "doc_id")
-    rows = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("pattern", "at").orderBy("pattern", "at").toPandas()
+    part = seen.where((F.pmod(F.xxhash64("at"), F.lit(1 << 30)) / float(1 << 30)) < rates[F.col("pattern")]).distinct()
+    taken = part.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy(F.xxhash64("at"), "at"))).where(F.col("r") <= each).select("at", "pattern")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # texts that are in the sample, each once
+            for piece in steps(b):
+                words = Words(piece.column(2))
+                x = Spelling(words).rows()
+                own = bins(measures(piece.column(2), words))
+                np.add.at(x, (np.arange(len(x))[:, None], own), 1.0)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["at", "pattern", "x"])
+
+    # SAMPLE rows at most are broadcast
+    sample = base.select(at, "text").join(F.broadcast(taken), "at").dropDuplicates(["at"]).select("at", "pattern", "text")
+    rows = sample.mapInArrow(features, "at long, pattern int, x binary").toPandas().sort_values("at", kind="stable")
     if not len(rows):
         return Scorer(np.zeros(BUCKETS + 1), labels)
-    x = np.stack([np.asarray(a, np.int64) for a in rows["at"]])
+    x = np.frombuffer(b"".join(rows["x"]), np.float16).reshape(len(rows), BUCKETS).astype(np.float32)
+    del rows["x"]
     y = np.array([labels["posterior"][p] for p in rows["pattern"]])
     # a pattern weighs as the square root of its documents: rare defects are still heard
     share = dict(zip(pattern.tolist(), np.sqrt(count).tolist(), strict=True))
-    taken = rows["pattern"].value_counts().to_dict()
-    weight = np.array([share[p] / taken[p] for p in rows["pattern"]])
-    return Scorer(train(x, y, weight), labels)
+    n = rows["pattern"].value_counts().to_dict()
+    return Scorer(train(x, y, np.array([share[p] / n[p] for p in rows["pattern"]])), labels)
 
 
 def score(docs: DataFrame, scorer: Scorer, name: str = "quality", text: str = "text") -> DataFrame:
-    """All columns of docs, and the scorer's score (0 to 1, higher: better)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
+    """All columns of docs, and last the scorer's score (0 to 1, higher: better) as ``name``, or as ``name_2``, ... if there is such a column."""
+    name = unused(name, docs.columns)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +267,7 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "quality", text: str = "t
             for part in steps(b, text):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(part.column(place)))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, spelled([*docs.schema, (name, "double")]))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,9 +277,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in steps(b):
-                v = votes(measures(part.column(1)))
-                p = pa.array([scorer.labels["posterior"].get(int(k), scorer.labels["prior"]) for k in patterns(v)], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0), p, pa.array(scorer(part.column(1)))], names=["doc_id", "posterior", "score"])
+                points, posterior = scorer.both(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(posterior), pa.array(points)], names=["doc_id", "posterior", "score"])
 
     base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return base.mapInArrow(run, "doc_id long, posterior double, score double").withColumn("kept", F.col("score") >= KEEP)
