@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import dropped, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = stored(small, "edges")
+        now, old = stored(small, "edges"), now
+        dropped(old)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == mark:
             break
@@ -60,8 +61,14 @@ def paired_blocks(rows: DataFrame, keys: list[str], weight: str, most: int) -> D
     is. Most groups are one block, and their rows stay as they are.
     """
     large = rows.groupBy(*keys).agg(F.sum(weight).alias("_weight")).where(F.col("_weight") > most).select(*keys, F.ceil(F.col("_weight") / most).cast("int").alias("_blocks"))
-    counted = rows.join(large, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    own = counted.withColumn("own_block", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.col("_blocks")).cast("int"))
+    return split(rows.join(large, keys, "left"), keys, F.coalesce("_blocks", F.lit(1))).drop("_blocks")
+
+
+def split(rows: DataFrame, keys: list[str], blocks: Column) -> DataFrame:
+    """rows, each once for every pair of blocks that its block is in, as ``paired_blocks`` has them; blocks: how many the row's group is split into."""
+    columns = [c for c in rows.columns if c not in keys and not c.startswith("_")]
+    counted = rows.withColumn("_blocks", blocks)
+    own = counted.withColumn("own_block", F.pmod(F.xxhash64(*columns), F.col("_blocks")).cast("int"))
     spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return spread.withColumn("block_x", F.least("own_block", "_other")).withColumn("block_y", F.greatest("own_block", "_other")).drop("_blocks", "_other")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import Words, mix, pick, steps, stored, width, word_hashes
-from quire.llm.graph import by_group, components, forest, paired_blocks
+from quire.llm.graph import by_group, components, forest, paired_blocks, split
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP_, TOLERANCE = 128, 4, 32, 1e-6
@@ -199,28 +199,11 @@ def clusters(classes: DataFrame, parts: int) -> DataFrame:
                 out = mix(out + np.arange(HASHES // ROWS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), HASHES // ROWS))], names=["band", "node"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose band another row of the sorted partition has too."""
-        held, twin = None, False
-        for b in batches:
-            if not b.num_rows:
-                continue
-            band, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if held:
-                band, node = np.insert(band, 0, held[0]), np.insert(node, 0, held[1])
-            like = np.zeros(len(band), bool)
-            equal = band[1:] == band[:-1]
-            like[1:] |= equal
-            like[:-1] |= equal
-            like[0] |= twin
-            held, twin = (band[-1], node[-1]), bool(like[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(band[:-1][like[:-1]]), pa.array(node[:-1][like[:-1]])], names=["band", "node"])
-        if held and twin:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["band", "node"])
-
-    keys = classes.select("node", "signature").mapInArrow(bands, "band long, node long")
-    found = stored(keys.repartition(parts, "band").sortWithinPartitions("band").mapInArrow(shared, "band long, node long"), "bands")
-    blocks = paired_blocks(found.withColumn("one", F.lit(1)), ["band"], "one", BUCKET_BLOCK).drop("one")
+    # counts are combined before they are shuffled; a band that many classes share is split by the join's skew handling, then into blocks
+    keys = stored(classes.select("node", "signature").mapInArrow(bands, "band long, node long"), "bands")
+    counted = keys.groupBy("band").agg(F.count(F.lit(1)).alias("_weight")).where("_weight > 1")
+    found = keys.join(counted, "band")
+    blocks = split(found, ["band"], F.ceil(F.col("_weight") / BUCKET_BLOCK).cast("int")).drop("_weight")
     full = blocks.join(classes.select("node", "signature"), "node")
 
     def link(table: pa.Table) -> pa.RecordBatch | None:
