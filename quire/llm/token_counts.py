@@ -6,6 +6,9 @@ known for all shorter prefixes, ``count[i] = count[i - len(t)] + 1``: one pass g
 counted without encoding it again. Pieces are the vocabulary's own pre-tokens; how a cut changes them (inside white space or a
 contraction) is taken into account, and special strings count as the library's default has them: one token when whole, plain text when cut.
 
+``prefix_counts`` stores the counts of all prefixes with each text's id, as differences of neighbours; ``cut`` reads such a table and answers where texts
+have to be cut for any number of budgets, and ``counted`` how many tokens their first characters are, without the texts.
+
 A null text is an empty one (no bytes, no tokens); repeated rows give repeated results; an empty table gives an empty
 result; extra columns are ignored. Texts are never cut: very long ones only make a longer table.
 """
@@ -13,6 +16,7 @@ result; extra columns are ignored. Texts are never cut: very long ones only make
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +24,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE, Memo, coded, pick, ragged, raw, steps, tokenizer_file
+from quire.llm.common import Memo, coded, pick, plain_runs, ragged, raw, steps, stored, table, tokenizer_file
 
 LIMIT = 512
 #: Fixed value: how this family of vocabularies splits text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Fixed value: white space beyond ASCII (and the four ASCII separators), beside which texts are not divided into chunks.
-ODD_SPACE = regex.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Fixed value: ASCII white space, as this family of vocabularies has it.
+BLANK = table((9, 13), (32, 32))
+#: Fixed value: white space beyond ASCII.
+WIDE_SPACE = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = {*WIDE_SPACE, *"\t\n\v\f\r "}
+_WIDE = np.sort(np.array([int.from_bytes(c.encode(), "big") for c in WIDE_SPACE]))
 _PIECES = regex.compile(PIECES)
+#: What is one piece in any plain text: letters, digits or marks, with a space in front or not.
+_PLAIN = regex.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Pieces and token pairs that are remembered by themselves.
+HELD_PIECES, HELD_PAIRS = 50_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,7 +83,7 @@ class PrefixCounter:
         self.two = {k: sorted(v, reverse=True) for k, v in by_two.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.memo = Memo(self._chunks, np.int32, most=400_000)
+        self.memo = Memo(self._chunks, np.int32)
 
     def stay(self, a: int, b: int) -> bool:
         """Whether tokens a, b, side by side, are what merging their bytes gives: undo both from the inside, latest merge
@@ -79,7 +91,7 @@ class PrefixCounter:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > HELD_PAIRS:
                 self.fits.clear()
             joined, parts, before, known = self.joined, self.parts, 1 << 40, None
             while known is None:
@@ -118,20 +130,28 @@ class PrefixCounter:
                 counts.append(counts[i - 1] + 1 if i else 1)
                 last.append(text[i])
 
-    def learn(self, pieces: list[str]) -> None:
-        """Work out pieces in sorted order: what a piece has in common with the one before it is not gone over again."""
-        if len(self.pieces) > 500_000:
-            self.pieces.clear()
+    def worked(self, pieces: list[str]) -> list[list[int]]:
+        """Of each distinct piece, the counts of its prefixes of 1, 2, ... characters. They are worked out in sorted order: what a piece has in common
+        with the one before it is not gone over again."""
+        spelled = [p.encode() for p in pieces]
+        out: list[list[int]] = [[]] * len(pieces)
         old, counts, last = b"", [], []
-        for text, piece in sorted((p.encode(), p) for p in pieces):
+        for k in sorted(range(len(pieces)), key=spelled.__getitem__):
+            text = spelled[k]
             same, most = 0, min(len(old), len(text))
             while same < most and old[same] == text[same]:
                 same += 1
             del counts[same:], last[same:]
             self.piece(text, counts, last, same)
             # of the bytes, those that end a character
-            self.pieces[piece] = counts.copy() if len(piece) == len(text) else [c for c, after in zip(counts, [*text[1:], 0], strict=True) if after & 0xC0 != 0x80]
+            out[k] = counts.copy() if len(pieces[k]) == len(text) else [c for c, after in zip(counts, [*text[1:], 0], strict=True) if after & 0xC0 != 0x80]
             old = text
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        if len(self.pieces) > HELD_PIECES:
+            self.pieces.clear()
+        self.pieces.update(zip(pieces, self.worked(pieces), strict=True))
 
     def of_piece(self, piece: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, ... characters of one pre-token."""
@@ -143,16 +163,16 @@ class PrefixCounter:
         """Token counts of the prefixes of 1, 2, ... characters, special strings being plain text."""
         pieces = _PIECES.findall(text)
         if len(pieces) == 1 and "'" not in text:
-            return self.of_piece(text) if not text[:2].isspace() else [self.of_piece(text[:k])[-1] for k in range(1, len(text) + 1)]
+            return self.of_piece(text) if text[-1] not in _SPACES or len(text) == 1 else [self.of_piece(text[:k])[-1] for k in range(1, len(text) + 1)]
         out: list[int] = []
         base = space_base = at = 0
         space_at = -1
         for piece in pieces:
             counts = self.of_piece(piece)
             first = piece[0]
-            if first.isspace():
+            if first in _SPACES:
                 # a cut inside a run of white space makes all of the run so far one piece
-                blank = len(piece) if piece.isspace() else 1
+                blank = len(piece) if piece[-1] in _SPACES else 1
                 if space_at < 0:
                     space_at, space_base = at, base
                 out += [space_base + self.of_piece(text[space_at : k + 1])[-1] for k in range(at, at + blank)]
@@ -187,27 +207,38 @@ class PrefixCounter:
 
     def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in chunks]
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)]
+        each: list[list[int]] = [[]] * len(texts)
+        for i, counts in zip(plain, self.worked([texts[i] for i in plain]), strict=True):
+            each[i] = counts
+        others = sorted({*range(len(texts))} - {*plain})
         known = self.pieces
-        self.learn(list({p for t in texts for p in _PIECES.findall(t) if p not in known}))
-        each = [self.prefixes(t) for t in texts]
-        return np.array([c for x in each for c in x], np.int32), np.array([len(x) for x in each], np.int64)
+        self.learn(list({p for i in others for p in _PIECES.findall(texts[i]) if p not in known}))
+        for i in others:
+            each[i] = self.prefixes(texts[i])
+        lengths = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum())), lengths
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The stored table: counts of all prefixes of all texts, one after another, and the number of characters of each text.
+        """The table: counts of all prefixes of all texts, one after another, and the number of characters of each text.
 
         Texts are divided into chunks (white space and what follows it up to the next), since a cut in front of white space never
-        changes the pieces on either side; each distinct chunk is worked out once.
+        changes the pieces on either side, and plain chunks behind a single space into their pieces; each distinct one is worked out once.
         """
         body, offsets = raw(column)
-        space = SPACE[body]
-        whole = {i for i, t in enumerate(column.to_pylist()) if t and ODD_SPACE.search(t)} if _has_odd(body) else set()
+        space = spaces(body)
         start = np.zeros(len(body), bool)
         start[1:] = space[1:] & ~space[:-1]
         full = offsets[1:] > offsets[:-1]
-        for i in whole:
-            start[offsets[i] : offsets[i + 1]] = False
         start[offsets[:-1][full]] = True
         starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(body))
+        words = starts + (body[starts] == 32)
+        plain, kind = plain_runs(body, words, ends)
+        own = ragged(words[plain], (ends - words)[plain])
+        inner = own[1:][(kind[own[1:]] != kind[own[1:] - 1]) & (np.diff(own) == 1)]
+        start[inner] = True
+        starts = np.flatnonzero(start)
         codes, dictionary = coded(body, None, starts, np.append(starts[1:], len(body)))
         places = self.memo.places(dictionary.to_pylist())[codes]
         lengths = self.memo.length[places]
@@ -222,13 +253,19 @@ class PrefixCounter:
         return counts, np.diff(chars)
 
 
-def _has_odd(body: np.ndarray) -> bool:
-    """Whether bytes occur with which white space beyond SPACE begins: 0x85, 0xA0 after 0xC2, or 0xE1 to 0xE3."""
-    lead = (body >= 0xE1) & (body <= 0xE3)
-    if lead.any():
-        return True
-    c2 = np.flatnonzero(body[:-1] == 0xC2)
-    return bool(len(c2)) and bool(np.isin(body[c2 + 1], (0x85, 0xA0)).any())
+def spaces(body: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text are white space or part of it."""
+    out = BLANK[body]
+    for lead, size in (((0xC2, 0xC2), 2), ((0xE1, 0xE3), 3)):
+        at = np.flatnonzero((body[: len(body) - size + 1] >= lead[0]) & (body[: len(body) - size + 1] <= lead[1]))
+        if len(at):
+            code = np.zeros(len(at), np.int64)
+            for k in range(size):
+                code = code << 8 | body[at + k]
+            at = at[np.isin(code, _WIDE)]
+            for k in range(size):
+                out[at + k] = True
+    return out
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -240,9 +277,24 @@ def counter(name: str) -> PrefixCounter:
     return _counters[name]
 
 
-def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = LIMIT, keep: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deltas(counts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Counts of each text as bytes: the width of a number, then the differences of neighbours (the first from 0), little-endian."""
+    step = np.diff(counts, prepend=0)
+    first = ends[:-1][ends[1:] > ends[:-1]]
+    step[first] = counts[first]
+    wide = np.abs(step) > 127
+    sums, small = np.concatenate([[0], np.cumsum(wide)]), step.astype(np.int8)
+    return [b"\4" + step[a:z].astype("<i4").tobytes() if sums[z] > sums[a] else b"\1" + small[a:z].tobytes() for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def restored(stored_: bytes) -> np.ndarray:
+    """The counts of a text's prefixes of 1, 2, ... characters."""
+    return np.cumsum(np.frombuffer(stored_, np.int8 if stored_[0] == 1 else "<i4", offset=1), dtype=np.int64)
+
+
+def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = LIMIT, keep: bool = True, key: str = "doc_id", text: str = "text", packed: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, fit_chars (length of the longest prefix within ``limit`` tokens all of whose shorter prefixes
-    fit too), and with ``keep`` prefix_counts array<int>: the exact count at every prefix, in characters."""
+    fit too), and with ``keep`` prefix_counts: the exact count at every prefix, in characters (array<int>; ``packed``: binary, see ``deltas``)."""
     base = pick(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def count(batches):
@@ -251,22 +303,81 @@ def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit:
             for part in steps(b):
                 _, offsets = raw(part.column(1))
                 counts, chars = of(part.column(1))
-                ends = np.cumsum(chars)
-                last = np.where(chars > 0, counts[np.maximum(ends - 1, 0)] if len(counts) else 0, 0)
-                over = np.flatnonzero(counts > limit)
-                after = np.searchsorted(over, ends - chars)
-                stop = np.where(after < len(over), over[np.minimum(after, max(len(over) - 1, 0))] if len(over) else 0, len(counts))
-                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(last.astype(np.int64)), pa.array(np.minimum(stop, ends) - (ends - chars))]
+                ends = np.concatenate([[0], np.cumsum(chars)])
+                last = np.where(chars > 0, counts[np.maximum(ends[1:] - 1, 0)] if len(counts) else 0, 0)
+                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(last.astype(np.int64)), pa.array(fits(counts, ends, limit))]
                 names = ["doc_id", "n_bytes", "n_tokens", "fit_chars"]
                 if keep:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(counts)))
+                    columns.append(pa.array(deltas(counts, ends), pa.binary()) if packed else pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts)))
                     names.append("prefix_counts")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return base.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, fit_chars long" + ", prefix_counts array<int>" * keep)
+    return base.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, fit_chars long" + (", prefix_counts " + ("binary" if packed else "array<int>")) * keep)
+
+
+def fits(counts: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
+    """Of each text (its counts are those from one of ends to the next), how many characters fit all of whose prefixes are within limit tokens."""
+    over = np.flatnonzero(counts > limit)
+    after = np.searchsorted(over, ends[:-1])
+    stop = np.append(over, len(counts))[after]
+    return np.minimum(stop, ends[1:]) - ends[:-1]
+
+
+def _read(table: DataFrame, columns: str, answer) -> DataFrame:
+    """answer(counts, ends) -> arrays, over the stored counts of a few texts at a time."""
+
+    def run(batches):
+        for b in batches:
+            for part in steps(b, "prefix_counts"):
+                each = [restored(x) for x in part.column(1).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, answer(np.concatenate(each), ends))], names=["doc_id", *(c.split()[0] for c in columns.split(", "))])
+
+    return table.select("doc_id", "prefix_counts").mapInArrow(run, f"doc_id long, {columns}")
+
+
+def cut(table: DataFrame, budgets: list[int]) -> DataFrame:
+    """From packed prefix counts, without texts: doc_id, n_tokens, and for every budget chars_<budget>: how many characters stay within it, and
+    tokens_<budget>: how many tokens those are. A text within its budget stays whole; one without characters has 0."""
+
+    def answer(counts, ends):
+        full = ends[1:] > ends[:-1]
+        at = lambda n: np.where(n > 0, np.append(counts, 0)[np.maximum(ends[:-1] + n - 1, 0)], 0)
+        out = [np.where(full, at(np.diff(ends)), 0)]
+        for budget in budgets:
+            n = fits(counts, ends, budget)
+            out += [n, at(n)]
+        return out
+
+    return _read(table, ", ".join(["n_tokens long", *(f"chars_{k} long, tokens_{k} long" for k in budgets)]), answer)
+
+
+def counted(table: DataFrame, chars: int) -> DataFrame:
+    """From packed prefix counts, without texts: doc_id and tokens, the exact count of each text's first ``chars`` characters."""
+
+    def answer(counts, ends):
+        n = np.minimum(np.diff(ends), chars)
+        return [np.where(n > 0, np.append(counts, 0)[np.maximum(ends[:-1] + n - 1, 0)], 0)]
+
+    return _read(table, "tokens long", answer)
+
+
+#: Budgets of the query.
+BUDGETS = (128, 512, 2048)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_tokens and fit_chars are read off the table of prefix counts that each text gets."""
-    found = prefix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
-    return found.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    """The table of prefix counts is stored; n_tokens, and where each text is to be cut for every budget, are read from it."""
+    table = stored(prefix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True), "prefix-counts")
+    sizes = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + "".join(f", chars_{k} long" for k in BUDGETS)
+
+    def run(batches):
+        for b in batches:
+            for part in steps(b, "prefix_counts"):
+                each = [restored(x) for x in part.column(2).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+                counts = np.concatenate(each)
+                last = pa.array([int(x[-1]) if len(x) else 0 for x in each], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], last, pa.compute.greater(last, LIMIT), *(pa.array(fits(counts, ends, k)) for k in BUDGETS)], names=[x.split()[0] for x in sizes.split(", ")])
+
+    return table.select("doc_id", "n_bytes", "prefix_counts").mapInArrow(run, sizes)
