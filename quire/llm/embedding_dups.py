@@ -34,7 +34,10 @@ VISIT, SLACK, NEAR = 500, 1e-6, 1e-4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length 1; they are scaled by their largest component first, so that squares neither overflow nor vanish."""
+    with np.errstate(under="ignore"):
+        scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 class Grid:
@@ -104,9 +107,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", l
     base = pick(rows, key, label, vector).select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     sound = F.col("label").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     # 0.0 + x: minus zero is zero
-    known = base.where(F.coalesce(sound, F.lit(False))).select("vec_id", "label", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
+    plain = F.transform("vector", lambda x: x + F.lit(0.0))
+    # two hashes stand for a class from here on, so that vectors are shuffled no oftener than they are compared
+    node, check = F.xxhash64("label", "vector").alias("node"), F.xxhash64(F.lit(5), "vector", "label").alias("check")
+    known = base.where(F.coalesce(sound, F.lit(False))).select("vec_id", "label", plain.alias("vector"))
     classes = known.groupBy("label", "vector").agg(F.min("vec_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes.select("*", F.size("vector").alias("dim"), F.xxhash64("label", "vector").alias("node")), "vectors")
+    classes = stored(classes.select("*", F.size("vector").alias("dim"), node, check), "vectors")
     parts = width(base)
     links, edges, told = [], [], []
     for dim, n, most in sorted((r["dim"], r["n"], r["most"]) for r in classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("dim").agg(F.sum("c").alias("n"), F.max("c").alias("most")).collect()):
@@ -124,11 +130,11 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", l
     joined = components(edges[0])
     class_of = joined.join(classes.select("node", "lead"), "node").groupBy("component").agg(F.min("lead").alias("component_id")).join(joined, "component").select("node", "component_id")
     per_class = (
-        classes.select("node", "label", "vector", "lead", "copies").join(links[0].groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(class_of, "node", "left")
-        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "lead").alias("component_id"))
+        classes.select("node", "check", "lead", "copies").join(links[0].groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(class_of, "node", "left")
+        .select("node", "check", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "lead").alias("component_id"))
     )
-    plain = base.withColumn("vector", F.when(F.coalesce(sound, F.lit(False)), F.transform("vector", lambda x: x + F.lit(0.0))))
-    whole = plain.join(per_class, ["label", "vector"], "left")
+    rows_ = base.withColumn("vector", F.when(F.coalesce(sound, F.lit(False)), plain)).select("vec_id", F.when(F.col("vector").isNotNull(), node).alias("node"), F.when(F.col("vector").isNotNull(), check).alias("check"))
+    whole = rows_.join(per_class, ["node", "check"], "left")
     return whole.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
     ), told
