@@ -6,11 +6,12 @@ shorter than 5) do, each at its own place. So shingles are ordered by rarity, co
 its rarest shingle alone: with containment 1 the necessary prefix is one shingle long. Where it stands in the document and where in the
 window fix the window's start (positional bound), the document's ends bound it (length bound), and the candidate is then compared word by word.
 
-Items are dealt into blocks of ``BLOCK`` bytes of text; each block becomes an index file in the shared folder, and a worker holds one
-block's index at a time, so memory doesn't depend on how large the benchmark is. Documents never leave their task.
+Items are dealt into blocks of ``BLOCK`` bytes of text; each block becomes an index file in the shared folder, and a worker holds ``HELD``
+blocks' indexes at most, so memory doesn't depend on how large the benchmark is. Documents never leave their task.
 
 Null or wordless documents have no words and are clean; null or wordless items occur nowhere; repeated rows give repeated results;
-repeated items count under each of their ids; empty tables give empty or clean results; extra columns are ignored.
+repeated items count under each of their ids. Ids of items may be of any type and are told apart as strings; items without an id hit like others,
+and all of them together are one item without a name. Empty tables give empty or clean results; ``contamination`` ignores extra columns, ``clean`` keeps them.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, mix, pick, ragged, shared_path, steps, stored
+from quire.llm.common import Words, mix, pick, ragged, runs, shared_path, steps
 from quire.llm.token_files import _fs
 
-WINDOW, SHINGLE, BLOCK = 10, 5, 4_000_000
+WINDOW, SHINGLE, BLOCK, HELD = 10, 5, 4_000_000, 4
 
 
 def _save(folder: str, name: str, attempt: int, **arrays: np.ndarray) -> None:
@@ -67,7 +68,10 @@ class Block:
         self.sizes = sorted({min(SHINGLE, int(n)) for n in held["length"]})
 
     @staticmethod
-    def made(item_ids: np.ndarray, column: pa.Array) -> dict[str, np.ndarray]:
+    def made(item_ids: list[str | None], column: pa.Array) -> dict[str, np.ndarray]:
+        names = sorted({i for i in item_ids if i is not None})
+        # the number of an item's name; -1: it has none
+        number = {n: k for k, n in enumerate(names)} | {None: -1}
         words = Words(column)
         ids = words.codes.astype(np.int64) + 1
         rows, owner, lengths = [], [], []
@@ -79,7 +83,7 @@ class Block:
                 rows.append(np.pad(own, (0, WINDOW - n))[None, :])
             else:
                 continue
-            owner.append(np.full(len(rows[-1]), item_ids[d], np.int64))
+            owner.append(np.full(len(rows[-1]), number[item_ids[d]], np.int64))
             lengths.append(np.full(len(rows[-1]), min(n, WINDOW), np.int64))
         window = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int64)
         owner = np.concatenate(owner) if rows else np.zeros(0, np.int64)
@@ -93,8 +97,14 @@ class Block:
             "window": distinct, "length": size, "items": pairs[:, 1], "item_first": np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)),
             "word_off": np.frombuffer(off, np.int64)[: len(words.dictionary) + 1] if len(words.dictionary) else np.zeros(1, np.int64),
             "word_data": np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8),
+            "name_off": np.concatenate([[0], np.cumsum([len(n.encode()) for n in names], dtype=np.int64)]), "name_data": np.frombuffer("".join(names).encode(), np.uint8),
         }
 
+    def names(self) -> list[str | None]:
+        """The names of the block's items; the last one is for those that have none."""
+        whole, off = self.held["name_data"].tobytes(), self.held["name_off"].tolist()
+        return [*(whole[a:z].decode() for a, z in zip(off[:-1], off[1:], strict=True)), None]
+
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each window, the keys at offsets 0, 1, ... (as a matrix) and which of them there are."""
         window, length = self.held["window"], self.held["length"]
@@ -140,6 +150,7 @@ class Index:
     def __init__(self, held: dict[str, np.ndarray]):
         self.block = Block(held)
         self.held = held
+        self.names = self.block.names()
 
     @staticmethod
     def made(held: dict[str, np.ndarray], counted: dict[int, int]) -> dict[str, np.ndarray]:
@@ -195,9 +206,12 @@ _held: dict[tuple[str, str], object] = {}
 
 
 def _one(folder: str, name: str, kind: type):
-    """One block in a worker's memory at a time."""
-    if (folder, name) not in _held:
-        _held.clear()
+    """HELD blocks in a worker's memory at most, those used last."""
+    if (folder, name) in _held:
+        _held[folder, name] = _held.pop((folder, name))
+    else:
+        while len(_held) >= HELD:
+            del _held[next(iter(_held))]
         found = _load(folder, name)
         _held[folder, name] = found and kind(found)
     return _held[folder, name]
@@ -208,7 +222,7 @@ def index_items(items: DataFrame, docs: DataFrame, folder: str, key: str = "item
 
     One pass over items, one counting pass over docs. Only counts of shingles that items have are shuffled.
     """
-    base = pick(items, key, text).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
+    base = pick(items, key, text).select(F.col(key).cast("string").alias("item_id"), F.col(text).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK))
 
@@ -216,7 +230,7 @@ def index_items(items: DataFrame, docs: DataFrame, folder: str, key: str = "item
         context, held = TaskContext.get(), [b for b in batches if b.num_rows]
         if held:
             table = pa.Table.from_batches(held)
-            made = Block.made(table.column(0).to_numpy(), table.column(1).combine_chunks())
+            made = Block.made(table.column(0).to_pylist(), table.column(1).combine_chunks())
             _save(folder, f"block-{context.partitionId()}", context.taskAttemptId(), **made)
             yield pa.RecordBatch.from_pydict({"windows": [len(made["window"])]})
 
@@ -263,8 +277,29 @@ def index_items(items: DataFrame, docs: DataFrame, folder: str, key: str = "item
     return blocks
 
 
+def _found(folder: str, blocks: int, words: Words) -> tuple[np.ndarray, list[set[str | None]]]:
+    """Which of a step's words are hit, and for each document the names of the items that occur in it."""
+    edge = np.zeros(len(words.codes) + 1, np.int64)
+    items: list[set[str | None]] = [set() for _ in range(len(words.counts))]
+    for i in range(blocks):
+        found = _one(folder, f"index-{i}", Index)
+        if not found:
+            continue
+        start, window = found.find(words)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + found.held["length"][window], -1)
+        doc = np.searchsorted(words.first, start, "right") - 1
+        once = np.unique(np.stack([doc, window], axis=1), axis=0)
+        first = found.held["item_first"]
+        n = np.diff(first)[once[:, 1]]
+        pairs = np.unique(np.stack([np.repeat(once[:, 0], n), found.held["items"][ragged(first[once[:, 1]], n)]], axis=1), axis=0)
+        for d, k in pairs.tolist():
+            items[d].add(found.names[k])
+    return np.cumsum(edge[:-1]) > 0, items
+
+
 def contamination(docs: DataFrame, folder: str, blocks: int, spans: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, item_ids array<long> (as strings sorted), and with spans the hit word ranges
+    """Per row: doc_id, n_words, n_hit, item_ids array<string> (sorted, null last), and with spans the hit word ranges
     array<struct<start, end>> (end exclusive, merged)."""
     base = pick(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -272,31 +307,13 @@ def contamination(docs: DataFrame, folder: str, blocks: int, spans: bool = True,
         for b in batches:
             for part in steps(b):
                 words = Words(part.column(1))
-                edge = np.zeros(len(words.codes) + 1, np.int64)
-                pairs = []
-                for i in range(blocks):
-                    found = _one(folder, f"index-{i}", Index)
-                    if not found:
-                        continue
-                    start, window = found.find(words)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + found.held["length"][window], -1)
-                    doc = np.searchsorted(words.first, start, "right") - 1
-                    once = np.unique(np.stack([doc, window], axis=1), axis=0)
-                    first = found.held["item_first"]
-                    n = np.diff(first)[once[:, 1]]
-                    pairs.append(np.stack([np.repeat(once[:, 0], n), found.held["items"][ragged(first[once[:, 1]], n)]], axis=1))
-                hit = np.cumsum(edge[:-1]) > 0
+                hit, items = _found(folder, blocks, words)
                 sums = np.concatenate([[0], np.cumsum(hit)])
-                owners = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-                cuts = np.searchsorted(owners[:, 0], np.arange(part.num_rows + 1))
-                ids = [sorted(owners[a:z, 1].tolist(), key=str) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                columns = [part.column(0), pa.array(words.counts.astype(np.int64)), pa.array(sums[words.first[1:]] - sums[words.first[:-1]]), pa.array(ids, pa.list_(pa.int64()))]
+                ids = [sorted(x, key=lambda n: (n is None, n or "")) for x in items]
+                columns = [part.column(0), pa.array(words.counts.astype(np.int64)), pa.array(sums[words.first[1:]] - sums[words.first[:-1]]), pa.array(ids, pa.list_(pa.string()))]
                 names = ["doc_id", "n_words", "n_hit", "item_ids"]
                 if spans:
                     # document borders part spans: a window never crosses one, so a border inside a run is a new span
-                    from quire.llm.common import runs
-
                     low, high = runs(hit, words.first)
                     first = np.searchsorted(low, words.first)
                     shift = words.first[np.searchsorted(words.first, low, "right") - 1]
@@ -305,11 +322,26 @@ def contamination(docs: DataFrame, folder: str, blocks: int, spans: bool = True,
                     names.append("spans")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return base.mapInArrow(find, "doc_id long, n_words long, n_hit long, item_ids array<long>" + ", spans array<struct<start: long, end: long>>" * spans)
+    return base.mapInArrow(find, "doc_id long, n_words long, n_hit long, item_ids array<string>" + ", spans array<struct<start: long, end: long>>" * spans)
+
+
+def clean(docs: DataFrame, folder: str, blocks: int, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no window occurs. Each row is judged by its own text, whatever its id."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in steps(b, text):
+                words = Words(part.column(place))
+                hit, _ = _found(folder, blocks, words)
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                yield part.filter(pa.array(sums[words.first[1:]] == sums[words.first[:-1]]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    joined = F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",")
+    joined = F.array_join("item_ids", ",")  # leaves nulls out
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
