@@ -1,9 +1,12 @@
-"""Text as Column -> Column functions: cleaning, segmentation, keys, tests. Everything stays in the JVM."""
+"""Text as Column -> Column functions: cleaning, segmentation, keys, tests. All but one step of ``extract_json`` stays in the JVM."""
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +29,16 @@ ABBREVIATIONS = ("Fig", "Figs", "Table", "Tables", "Suppl", "Supp", "Ref", "Refs
 #: Look-alikes folded to one Latin letter before a quotation is looked for.
 LOOSE_FROM = "γΓαΑβΒδΔεΕζΖηΗθΘιΙκΚλΛμΜνΝξΞπΠρΡσΣςτΤυΥφΦχΧψΨωΩ"
 LOOSE_TO = "vvaabbddeezznnttiikklluuvnxxppppsssttuyffxxyyww"
-#: Quotation marks and dashes that count as one; ligatures, longest first.
+#: Quotation marks and dashes that count as one; ligatures.
 MARKS_FROM, MARKS_TO = "‘’‚‛“”„‐‑‒–—―−", "''''\"\"\"-------"
-LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
-REFUSALS = ("无法", "抱歉", "不能", "对不起", "未提供", "没有提供")
+LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+#: Words by which a model says that what was selected is no whole word or sentence.
+REFUSALS = ("无法确定", "不完整", "截断", "片段", "不是一个完整的", "不是完整的")
+#: Before a full stop: abbreviations that end no sentence, when texts are cut for a model.
+SHORT_WORDS = ("al", "eg", "ie", "vs", "fig", "figs", "eq", "no", "cf", "approx", "ref", "refs", "dr", "mr", "mrs", "ms", "prof", "st", "etc", "vol", "sec", "suppl", "ca", "resp")
+#: Titles that are none; headings that are none: addresses, a journal's own labels, captions.
+JUNK_TITLES = ("untitled", "title", "document", "no title")
+JUNK_HEADING = r"(?i)^(https?://|www\.|doi:|check for updates$|download|share|cite this article|correspondence|reprints|permissions|article$|review article$|perspective$)|[\w.\-]+@[\w.\-]+\.\w+|^(fig|figure|table|box|scheme|extended data|supplementary)\s*\.?\s*\d|^please cite this article|^this article is protected|^downloaded from|^provided by|^see discussions|^article in press"
 TYPES = {"pdf": "application/pdf", "json": "application/json", "html": "text/html", "css": "text/css", "js": "text/javascript", "png": "image/png"}
 
 
@@ -78,19 +87,45 @@ def variants(term: Column) -> Column:
     return F.filter(F.transform(F.split(term, r"\s*/\s*"), identity_key), lambda x: x != "")
 
 
+def safe_sentences(c: Column) -> Column:
+    """Array of sentences that are surely some: an end is followed by a capital, a digit or an opening parenthesis, and doesn't stand after an
+    abbreviation, a single letter or a citation's year. White space after a sentence stays with it, blank ones are left out; a text without any is one."""
+    mark = "\u0001"
+    parts = F.split(F.regexp_replace(c, r"""([.!?]["')\]]?\s+)(?=[A-Z0-9(])""", f"$1{mark}"), mark, -1)
+
+    def ends(part: Column) -> Column:
+        before = F.regexp_replace(part, r"""\s*["')\]]*\s*[.!?]["')\]]*\s*$""", "")
+        word = F.translate(F.lower(F.regexp_extract(before, r"([A-Za-z0-9.]+)$", 1)), ".", "")
+        return ~(before.rlike(r"[,;]\s*(?:19|20)\d{2}$") | (word == "") | word.isin(*SHORT_WORDS) | word.rlike("^[a-z]$"))
+
+    # the last part ends the text, whatever it is
+    whole = F.array_join(F.transform(parts, lambda p: F.concat(p, F.when(ends(p), mark).otherwise(""))), "")
+    found = F.filter(F.split(whole, mark, -1), lambda x: F.regexp_replace(x, r"\s+", "") != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(c))
+
+
 def chunks(c: Column, cut: int = 6000, target: int = 4000) -> Column:
-    """Sentences put together to chunks of about equal length; a text up to ``cut`` is one chunk, a short tail goes to the chunk before it."""
+    """Sentences put together to n = ceil(length / target) chunks (2 at least): each but the last is cut once it has an n-th of the text, and a last one under half
+    of that goes to the one before it. A text up to ``cut`` is one chunk. Only places are carried along, the text is cut at the end."""
     n = F.greatest(F.lit(2), F.ceil(F.length(c) / target).cast("int"))
     want = F.length(c) / n
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-    step = lambda a, s: F.when(
-        (F.length(a["now"]) > 0) & (F.length(a["now"]) + F.length(s) > want), F.struct(F.array_append(a["out"], a["now"]).alias("out"), s.alias("now")),
-    ).otherwise(F.struct(a["out"].alias("out"), F.concat(a["now"], s).alias("now")))
-    size = lambda a: F.size(a["out"])
-    end = lambda a: F.when(
-        (size(a) > 0) & (F.length(a["now"]) < 0.5 * want), F.array_append(F.slice(a["out"], 1, size(a) - 1), F.concat(F.element_at(a["out"], -1), a["now"])),
-    ).otherwise(F.array_append(a["out"], a["now"]))
-    return F.when(F.length(c) <= cut, F.array(c)).otherwise(F.aggregate(sentences(c), start, step, end))
+    ends = F.aggregate(safe_sentences(c), F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x)))
+
+    def places(ends: Column) -> Column:
+        """Where chunks end."""
+        last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+        step = lambda a, _: F.concat(a, F.slice(F.filter(ends, lambda e: e - last(a) >= want), 1, 1))
+        found = F.aggregate(F.sequence(F.lit(1), n - 1), F.array().cast("array<int>"), step)
+        end = F.element_at(ends, -1)
+        return F.transform(F.array(F.struct(found.alias("f"), end.alias("e"))), lambda x: F.when(last(x["f"]) == x["e"], x["f"]).when(
+            (F.size(x["f"]) > 0) & (x["e"] - last(x["f"]) < 0.5 * want), F.array_append(F.slice(x["f"], 1, F.size(x["f"]) - 1), x["e"]),
+        ).otherwise(F.array_append(x["f"], x["e"])))[0]
+
+    # an array of one, so that places are worked out once
+    cuts = F.transform(F.array(ends), places)[0]
+    return F.when(F.length(c) <= cut, F.array(c)).otherwise(
+        F.flatten(F.transform(F.array(cuts), lambda x: F.transform(x, lambda e, i: F.substring(c, F.when(i > 0, F.get(x, i - 1)).otherwise(0) + 1, e - F.when(i > 0, F.get(x, i - 1)).otherwise(0))))),
+    )
 
 
 # Keys (deliberately different from each other) -------------------------------
@@ -154,11 +189,11 @@ def plausible_line(c: Column) -> Column:
 
 def junk_title(c: Column) -> Column:
     t = F.trim(F.coalesce(c, F.lit("")))
-    return (F.length(t) < 8) | F.lower(t).endswith(".pdf") | t.rlike(r"^[\d\W_]+$") | F.lower(t).isin("untitled", "title", "document", "no title") | (F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{2,}"), F.lit(0))) < 2)
+    return (F.length(t) < 8) | F.lower(t).endswith(".pdf") | t.rlike(r"^[\d\W_]+$") | F.lower(t).isin(*JUNK_TITLES) | (F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{2,}"), F.lit(0))) < 2)
 
 
 def junk_heading(c: Column) -> Column:
-    return c.rlike(r"(?i)^(https?://|www\.|doi:|check for updates$|download|share|cite this article|correspondence|reprints|permissions|article$|review article$|perspective$)|[\w.\-]+@[\w.\-]+\.\w+|^(fig|figure|table|box|scheme|extended data|supplementary)\s*\.?\s*\d|^please cite this article|^this article is protected|^downloaded from|^provided by|^see discussions|^article in press")
+    return c.rlike(JUNK_HEADING)
 
 
 def refused(a: Column, b: Column) -> Column:
@@ -167,8 +202,12 @@ def refused(a: Column, b: Column) -> Column:
 
 
 def chat_url(c: Column) -> Column:
-    base = F.regexp_replace(F.trim(c), "/+$", "")
-    return F.when(base.endswith("/chat/completions"), base).when(base.rlike(r"/v\d+[a-z]*$"), F.concat(base, F.lit("/chat/completions"))).otherwise(F.concat(base, F.lit("/v1/chat/completions")))
+    """The address of a chat endpoint; nothing stays nothing."""
+    base = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "/+$", "")
+    return (
+        F.when(base == "", "").when(base.endswith("/chat/completions"), base).when(base.rlike(r"/v\d+[a-z]*$"), F.concat(base, F.lit("/chat/completions")))
+        .otherwise(F.concat(base, F.lit("/v1/chat/completions")))
+    )
 
 
 def masked(c: Column) -> Column:
@@ -198,9 +237,31 @@ def note(text: Column, meaning: Column, tip: Column) -> Column:
     return F.left(F.concat_ws("\n", *parts), F.lit(900))
 
 
+def _first_value(texts: pd.Series) -> pd.Series:
+    decoder = json.JSONDecoder()
+
+    def one(text: str | None) -> str | None:
+        for m in re.finditer(r"[{\[]", text or ""):
+            try:
+                return text[m.start() : decoder.raw_decode(text, m.start())[1]]
+            except ValueError:
+                pass
+        return None
+
+    return texts.map(one)
+
+
 def extract_json(c: Column) -> Column:
-    """A JSON value in a reply: all of it, what stands in a fence, or what lies between the outermost braces; null if none parses."""
+    """A JSON value in a reply: all of it, what stands in a fence, or the first object or array that can be decoded; null if there is none.
+
+    Where a value that begins somewhere ends, no built-in function tells: texts without the first two, and only those, go through Arrow.
+    """
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
-    ok = lambda x: F.when(F.try_parse_json(x).isNotNull() & (F.trim(x) != ""), x)
-    return F.coalesce(ok(c), ok(fenced), ok(braces))
+
+    def ok(x: Column) -> Column:
+        # the parser overlooks what follows a value; within two kinds of brackets it can't
+        listed, named = F.concat(F.lit("["), x, F.lit("]")), F.concat(F.lit('{"v":'), x, F.lit("}"))
+        return F.when((F.trim(x) != "") & F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull(), x)
+
+    plain = F.coalesce(ok(c), ok(fenced))
+    return F.coalesce(plain, F.pandas_udf(_first_value, "string")(F.when(plain.isNull(), c)))

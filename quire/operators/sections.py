@@ -13,7 +13,16 @@ from quire.functions import text as T
 # Fixed values
 START = ("SUMMARY", "ABSTRACT", "INTRODUCTION")
 BODY = ("RESULTS", "RESULTS AND DISCUSSION", "DISCUSSION", "CONCLUSION", "CONCLUSIONS", "SUMMARY AND CONCLUSIONS")
-END = ("STAR+METHODS", "STAR METHODS", "EXPERIMENTAL PROCEDURES", "METHODS", "REFERENCES", "ACKNOWLEDGMENTS", "ACKNOWLEDGEMENTS", "SUPPLEMENTAL INFORMATION", "AUTHOR CONTRIBUTIONS", "MATERIALS AND METHODS", "FIGURE LEGENDS")
+END = (
+    "STAR+METHODS", "STAR METHODS", "EXPERIMENTAL PROCEDURES", "METHODS", "REFERENCES", "ACKNOWLEDGMENTS", "ACKNOWLEDGEMENTS", "SUPPLEMENTAL INFORMATION", "AUTHOR CONTRIBUTIONS",
+    "DECLARATION OF INTERESTS", "RESOURCE AVAILABILITY", "KEY RESOURCES TABLE", "LEAD CONTACT", "EXPERIMENTAL MODEL AND SUBJECT DETAILS", "METHOD DETAILS",
+    "QUANTIFICATION AND STATISTICAL ANALYSIS", "ONLINE METHODS", "MATERIALS AND METHODS", "SUPPLEMENTARY INFORMATION", "SUPPLEMENTAL FIGURES", "SUPPLEMENTAL TABLES", "FIGURE LEGENDS",
+)
+#: Where a text without headings ends: methods may stand before results, so they are no end there.
+HARD_END = (
+    "REFERENCES", "ACKNOWLEDGMENTS", "ACKNOWLEDGEMENTS", "SUPPLEMENTAL INFORMATION", "SUPPLEMENTARY INFORMATION", "SUPPLEMENTAL FIGURES", "SUPPLEMENTAL TABLES", "FIGURE LEGENDS",
+    "AUTHOR CONTRIBUTIONS", "DECLARATION OF INTERESTS", "RESOURCE AVAILABILITY", "KEY RESOURCES TABLE", "LEAD CONTACT",
+)
 MIN_BODY = 120
 
 
@@ -43,9 +52,10 @@ def level(text: Column) -> Column:
     return F.when(number > 0, number).when(key.isin(*START, *BODY, *END), 1).when((F.length(letters) >= 3) & (F.upper(letters) == letters), 1).otherwise(2)
 
 
-def is_end(text: Column) -> Column:
+def is_end(text: Column, words=END) -> Column:
+    """Whether a heading is one of the words, or begins with one and a space. ``words``: END, or HARD_END for texts without headings."""
     key = T.heading_key(text)
-    return reduce(lambda a, e: a | (key == e) | F.startswith(key, F.lit(e + " ")), END, F.lit(False))
+    return reduce(lambda a, e: a | (key == e) | F.startswith(key, F.lit(e + " ")), words, F.lit(False))
 
 
 def sections(lines: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text", heading: str = "heading") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quire import vocab
 from quire.functions import text as T
 from quire.operators import joins as J
+from quire.operators import sections
 from quire.operators import sequence as S
 from quire.operators import validate as V
 from quire.plans.base import Plans, load
@@ -37,14 +38,14 @@ def _(spark, d):
     return g.where(F.col("chars") < 400 * F.col("n"))
 
 
-_GATE = """SELECT event_id, CASE WHEN length(event_type) < 4 OR length(event_type) > 60 THEN 'length' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'type' WHEN rn > 1 THEN 'repeated' ELSE 'ok' END AS reason
+_GATE = """SELECT event_id, CASE WHEN length(event_type) < 3 OR length(event_type) > 60 THEN 'length' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'type' WHEN rn > 1 THEN 'repeated' ELSE 'ok' END AS reason
 FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY event_id) AS rn FROM events)"""
 
 
 def _gate(events):
     rn = F.row_number().over(Window.partitionBy("user_id", F.lower("event_type")).orderBy("event_id"))
     t = F.col("event_type")
-    reason = F.when(~F.length(t).between(4, 60), "length").when(~t.isin("view", "click", "purchase"), "type").when(F.col("rn") > 1, "repeated").otherwise("ok")
+    reason = F.when(~F.length(t).between(3, 60), "length").when(~t.isin("view", "click", "purchase"), "type").when(F.col("rn") > 1, "repeated").otherwise("ok")
     return events.withColumn("rn", rn).select("event_id", reason.alias("reason"))
 
 
@@ -63,12 +64,14 @@ def _(spark, d):
     return load(spark, d, "documents").where(F.length("text") >= 120).select("doc_id")
 
 
-@plans.add("flt_08_end_matter", "SELECT DISTINCT p_partkey FROM part JOIN (SELECT DISTINCT split_part(p_type, ' ', 1) AS e FROM part WHERE p_size < 5) ON p_type = e OR starts_with(p_type, e || ' ')")
+_END_WORDS = ("STAR+METHODS", "STAR METHODS", "EXPERIMENTAL PROCEDURES", "METHODS", "REFERENCES", "ACKNOWLEDGMENTS", "ACKNOWLEDGEMENTS", "SUPPLEMENTAL INFORMATION", "AUTHOR CONTRIBUTIONS", "DECLARATION OF INTERESTS", "RESOURCE AVAILABILITY", "KEY RESOURCES TABLE", "LEAD CONTACT", "EXPERIMENTAL MODEL AND SUBJECT DETAILS", "METHOD DETAILS", "QUANTIFICATION AND STATISTICAL ANALYSIS", "ONLINE METHODS", "MATERIALS AND METHODS", "SUPPLEMENTARY INFORMATION", "SUPPLEMENTAL FIGURES", "SUPPLEMENTAL TABLES", "FIGURE LEGENDS")
+_HEADS = "CASE p_partkey % 5 WHEN 0 THEN '4. Online methods' WHEN 1 THEN 'References ' || p_name WHEN 2 THEN 'Methodsx ' || p_name WHEN 3 THEN 'Lead contact:' ELSE p_type END"
+_ENDS = " OR ".join(f"h = '{w}' OR starts_with(h, '{w} ')" for w in _END_WORDS)
+
+
+@plans.add("flt_08_end_matter", f"SELECT p_partkey FROM (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(upper(trim(regexp_replace(t, '\\s+', ' ', 'g'))), '^\\d+(\\.\\d+)*\\.?\\s+', ''), '^[IVX]+\\.\\s+', ''), '[.:]+$', '') AS h FROM (SELECT p_partkey, {_HEADS} AS t FROM part)) WHERE {_ENDS}")
 def _(spark, d):
-    p = load(spark, d, "part")
-    # equal, or a prefix before a space: the first word is an equi-join key for either
-    ends = p.where("p_size < 5").select(F.substring_index("p_type", " ", 1).alias("e")).distinct()
-    return p.withColumn("e", F.substring_index("p_type", " ", 1)).join(ends, "e", "left_semi").select("p_partkey")
+    return load(spark, d, "part").select("p_partkey", F.expr(_HEADS).alias("t")).where(sections.is_end(F.col("t"))).select("p_partkey")
 
 
 @plans.add("flt_12_owned", "SELECT count(*) FILTER (starts_with(c_name, 'Customer#0000001')) AS ours, count(*) FILTER (NOT starts_with(c_name, 'Customer#0000001')) AS others FROM customer")

@@ -81,6 +81,18 @@ def _(spark, d):
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
+_SAFE = r"""list_filter(string_split(array_to_string(list_transform(string_split(regexp_replace(text, '([.!?]["'')\]]?\s+)([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+  lambda p: p || CASE WHEN regexp_matches(regexp_replace(p, '\s*["'')\]]*\s*[.!?]["'')\]]*\s*$', ''), '[,;]\s*(19|20)[0-9]{2}$')
+    OR regexp_matches(replace(lower(regexp_extract(regexp_replace(p, '\s*["'')\]]*\s*[.!?]["'')\]]*\s*$', ''), '([A-Za-z0-9.]+)$', 1)), '.', ''), '^([a-z]|%s|)$') THEN '' ELSE chr(1) END), ''), chr(1)),
+  lambda x: regexp_replace(x, '\s+', '', 'g') <> '')""" % "|".join(T.SHORT_WORDS)
+
+
+@plans.add("txt_21_safe_sentences", f"SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, CASE WHEN len(f) > 0 THEN f ELSE [text] END AS s FROM (SELECT doc_id, text, {_SAFE} AS f FROM documents))")
+def _(spark, d):
+    found = load(spark, d, "documents").select("doc_id", F.posexplode(T.safe_sentences(F.col("text"))).alias("pos", "sentence"))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
 @plans.add("txt_22_chunks")
 def _(spark, d):
     found = load(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("pos", "chunk"))
@@ -161,15 +173,18 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", T.junk_title(t).alias("junk"))
 
 
-@plans.add("txt_47_refused", "SELECT conv_id, turn, contains(t, '无法') OR contains(t, '抱歉') OR contains(t, '不能') OR contains(t, '对不起') OR contains(t, '未提供') OR contains(t, '没有提供') AS refused FROM (SELECT conv_id, turn, concat_ws(' ', text, CASE WHEN turn % 3 = 0 THEN '抱歉' ELSE role END) AS t FROM conversations)")
+@plans.add("txt_47_refused", "SELECT conv_id, turn, contains(t, '无法确定') OR contains(t, '不完整') OR contains(t, '截断') OR contains(t, '片段') OR contains(t, '不是一个完整的') OR contains(t, '不是完整的') AS refused FROM (SELECT conv_id, turn, concat_ws(' ', text, CASE turn % 4 WHEN 0 THEN '无法确定' WHEN 1 THEN '抱歉' WHEN 2 THEN '这是片段' ELSE role END) AS t FROM conversations)")
 def _(spark, d):
-    other = F.when(F.col("turn") % 3 == 0, "抱歉").otherwise(F.col("role"))
+    k = F.col("turn") % 4
+    other = F.when(k == 0, "无法确定").when(k == 1, "抱歉").when(k == 2, "这是片段").otherwise(F.col("role"))
     return load(spark, d, "conversations").select("conv_id", "turn", T.refused(F.col("text"), other).alias("refused"))
 
 
-@plans.add("txt_48_chat_url", r"SELECT page_id, CASE WHEN b LIKE '%/chat/completions' THEN b WHEN regexp_matches(b, '/v\d+[a-z]*$') THEN b || '/chat/completions' ELSE b || '/v1/chat/completions' END AS url FROM (SELECT page_id, regexp_replace(trim(url), '/+$', '') AS b FROM pages)")
+@plans.add("txt_48_chat_url", r"SELECT page_id, CASE WHEN b = '' THEN '' WHEN b LIKE '%/chat/completions' THEN b WHEN regexp_matches(b, '/v\d+[a-z]*$') THEN b || '/chat/completions' ELSE b || '/v1/chat/completions' END AS url FROM (SELECT page_id, regexp_replace(trim(CASE page_id % 4 WHEN 0 THEN ' / ' WHEN 1 THEN url || '/v4/' WHEN 2 THEN url || '/chat/completions' ELSE url END), '/+$', '') AS b FROM pages)")
 def _(spark, d):
-    return load(spark, d, "pages").select("page_id", T.chat_url(F.col("url")).alias("url"))
+    k = F.col("page_id") % 4
+    base = F.when(k == 0, " / ").when(k == 1, F.concat("url", F.lit("/v4/"))).when(k == 2, F.concat("url", F.lit("/chat/completions"))).otherwise(F.col("url"))
+    return load(spark, d, "pages").select("page_id", T.chat_url(base).alias("url"))
 
 
 @plans.add("txt_49_masked", "SELECT c_custkey, CASE WHEN length(c_name) > 14 THEN left(c_name, 7) || '…' || right(c_name, 4) ELSE '…' END AS m FROM customer")
@@ -184,8 +199,11 @@ def _(spark, d):
 
 @plans.add("txt_51_json", "SELECT event_id, props AS j FROM events")
 def _(spark, d):
-    kind = F.col("event_id") % 3
-    reply = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("It is "), "props", F.lit(" as asked.")))
+    kind = F.col("event_id") % 4
+    reply = (
+        F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone.")))
+        .when(kind == 2, F.concat(F.lit("It is {so} "), "props", F.lit(" as asked, not {\"b\": 1}."))).otherwise(F.concat(F.lit("It is "), "props", F.lit(" as asked.")))
+    )
     return load(spark, d, "events").select("event_id", F.trim(T.extract_json(reply), F.lit("\n ")).alias("j"))
 
 
