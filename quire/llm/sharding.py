@@ -7,6 +7,8 @@ repeated rows get slots of their own; an empty table gives an empty result. Extr
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -37,18 +39,25 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def _placed(rows: DataFrame, key: str, shards: int, cuts: list) -> DataFrame:
-    """rows with shard, grown_shard and bucket: how many of the sorted cuts are at or below the key (null: none)."""
-    edges = np.array(cuts, np.int64)
+#: A doc_id that so many of the quantiles are is hot: its rows are parted by the crc32 of their texts, into PARTS.
+HOT, PARTS = 8, 256
+
+
+def _placed(rows: DataFrame, shards: int, cuts: list[int], hot: list[int]) -> DataFrame:
+    """rows (doc_id, text_crc32 among them) with shard, grown_shard and bucket. Buckets follow the order of doc_id and crc32: how many of the sorted cuts are at or
+    below the key (null: none, in a bucket before all others), then for a bucket of one hot key the part of its crc32."""
+    edges, single = np.array(cuts, np.int64), np.array(hot, np.int64)
 
     def place(batches):
         for b in batches:
-            column = b.column(b.schema.get_field_index(key))
+            column = b.column(b.schema.get_field_index("doc_id"))
             ids = pa.compute.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = mix(ids.view(np.uint64))
-            bucket = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, ids, "right"))
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            bucket = np.where(null, 0, np.searchsorted(edges, ids, "right") + 1)
+            part = np.where(null | np.isin(ids, single), b.column(b.schema.get_field_index("text_crc32")).to_numpy() // (2**32 // PARTS), 0)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(jump(keys, shards)), pa.array(jump(keys, shards + 1)), pa.array(bucket.astype(np.int32))],
+                [*b.columns, pa.array(jump(keys, shards)), pa.array(jump(keys, shards + 1)), pa.array((bucket * PARTS + part).astype(np.int32))],
                 names=[*b.schema.names, "shard", "grown_shard", "bucket"],
             )
 
@@ -60,8 +69,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     Slots are ranks within a shard, so a plain window would put a sixteenth of all rows in one task. Instead the key's range is
-    cut at approximate quantiles; ranks are taken within (shard, bucket) and shifted by the counts of lower buckets, of
-    which there are shards x cuts.
+    cut at approximate quantiles (and hot keys, and rows without one, by the crc32 of their texts); ranks are taken within (shard, bucket) and shifted by
+    the counts of lower buckets, of which there are shards x (2 x cuts + PARTS x hot keys), at most two million.
     """
     base = pick(docs, key, text).select(
         F.col(key).cast("long").alias("doc_id"),
@@ -70,16 +79,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
     )
     keys = base.select("doc_id")
     n = min(4096, 2 * width(keys))
-    cuts = keys.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)
-    cuts = sorted({int(c) for c in cuts})
+    found = [int(c) for c in keys.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)]
+    hot = sorted(c for c, k in Counter(found).items() if k >= HOT)
+    # a hot key has a bucket of its own
+    cuts = sorted({*found, *(min(c, 2**63 - 2) + 1 for c in hot)})
     below = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        _placed(keys, "doc_id", shards, cuts).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        _placed(base.select("doc_id", "text_crc32"), shards, cuts, hot).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
         .select("shard", "bucket", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("shift"))
     )
     inner = Window.partitionBy("shard", "bucket").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
-    ranked = _placed(base, "doc_id", shards, cuts).withColumn("rank", F.row_number().over(inner) - 1)
-    # shards x 4096 rows at most
+    ranked = _placed(base, shards, cuts, hot).withColumn("rank", F.row_number().over(inner) - 1)
     return ranked.join(F.broadcast(shift), ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("rank") + F.col("shift")).cast("long").alias("slot"), "grown_shard",
     )
