@@ -230,3 +230,15 @@ def _links(classes: DataFrame, dim: int, most: int, cosine: float, parts: int) -
 
 def op7_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+
+
+#: All pairs of a label; components by closure. For small tables.
+ORACLE_SQL = f"""WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= {COSINE} ELSE false END),
+reach AS (SELECT DISTINCT a AS s, a AS t FROM l UNION SELECT s, b FROM reach JOIN l ON a = t),
+low AS (SELECT s, min(vec_id) AS component_id FROM reach JOIN e ON r = t GROUP BY s),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(coalesce(component_id, vec_id) = vec_id, false) AS kept
+FROM e LEFT JOIN n ON a = r LEFT JOIN low ON s = r"""

@@ -288,3 +288,16 @@ assert math.isclose(_FRACTION[0] / _FRACTION[1], THRESHOLD)
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Sets of shingles joined shingle by shingle; classes by closure. For small tables.
+ORACLE_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),
+l AS MATERIALIZED (SELECT a, b FROM pairs JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 9 * pairs.n >= 4 * (x.n + y.n)),
+reach AS (SELECT DISTINCT a AS s, a AS t FROM l UNION SELECT s, b FROM reach JOIN l ON a = t),
+low AS (SELECT s, min(doc_id) AS class_id FROM reach JOIN d ON r = t GROUP BY s),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(class_id, doc_id) IS NOT DISTINCT FROM doc_id AS kept
+FROM d LEFT JOIN n ON a = r LEFT JOIN low ON low.s = r"""

@@ -23,6 +23,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_shards": sharding.ORACLE_SQL,
+        "op7_embedding_dups": embedding_dups.ORACLE_SQL,
+        "op8_jaccard_join": jaccard_join.ORACLE_SQL,
         "op9_url_templates": url_templates.ORACLE_SQL,
         "op10_decontamination": decontamination.ORACLE_SQL,
     }

@@ -282,3 +282,23 @@ def test_decontamination_of_blocks_and_long_texts(spark, monkeypatch):
     assert blocks > decontamination.HELD
     found = decontamination.digest(decontamination.contamination(frame(spark, docs), folder, blocks, spans=False))
     assert {tuple(r) for r in found.where("doc_id < 50").collect()} == set(brute_hits(docs[:12], items)) and found.where("doc_id = 50").first()["n_hit"] == 14
+
+
+@pytest.mark.parametrize("module", [embedding_dups, jaccard_join, sharding])
+def test_sql(spark, module):
+    import oracle
+
+    query = {embedding_dups: embedding_dups.op7_embedding_dups, jaccard_join: jaccard_join.op8_jaccard_join, sharding: sharding.op6_shards}[module]
+    assert oracle.differences(query(spark, "/root/testdata/sf0.001"), oracle.views("/root/testdata/sf0.001"), module.ORACLE_SQL) == ""
+
+
+def test_hot_keys_of_shards(spark):
+    """A third of all rows without a doc_id, a third with one and the same: slots are ranks all the same."""
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else rng.randrange(10**6), f"t{rng.randrange(400)}", None, None) for i in range(3000)]
+    got = sharding.shard_documents(frame(spark, rows).repartition(9)).toPandas()
+    for _, g in got.groupby("shard"):
+        order = sorted((-1 if d != d or d is None else d, c, s) for d, c, s in zip(g.doc_id, g.text_crc32, g["size"], strict=True))
+        by_slot = g.sort_values("slot")
+        assert by_slot.slot.tolist() == list(range(len(g)))
+        assert [(-1 if d != d or d is None else d, c, s) for d, c, s in zip(by_slot.doc_id, by_slot.text_crc32, by_slot["size"], strict=True)] == order
