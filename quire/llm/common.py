@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once in a Python worker (a longer document makes a step of its own).
-STEP = 3_000_000
+STEP = 2_000_000
 
 
 # ---------------------------------------------------------------- shared folder
@@ -243,7 +243,7 @@ class Memo:
     #: Bytes that a string takes besides itself and its value: the object, its place in the dictionary, start and length.
     EACH = 170
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = 64_000_000):
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = 48_000_000):
         self.make, self.dtype, self.most = make, np.dtype(dtype), most
         self.clear()
 

@@ -29,8 +29,8 @@ DROPOUT, SEED = 0.1, 17
 SPACE_MARK = "▁"
 #: No candidate. Units longer than LONG characters are worked on alone; shorter ones have no more turns than a mask has bits (first candidates and two for each merge).
 NONE, LONG = (1 << 31) - 1, 20
-#: Symbols of units that are worked on together.
-TOGETHER = 150_000
+#: Symbols of units that are worked on together; bytes of text whose draws are.
+TOGETHER, DRAWN = 150_000, 1_500_000
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pieces(model, dropout, seed)
         for b in batches:
-            for part in steps(b, text):
+            for part in steps(b, text, DRAWN):
                 ids, counts = of.encode(part.column(at), part.column(key_at))
                 decoded = of.decode(ids, counts)
                 same = pa.compute.equal(decoded, pa.compute.fill_null(part.column(at), "").cast(pa.large_string()).cast(pa.large_binary()))
