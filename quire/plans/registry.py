@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import flows, relations, structure, text, upkeep
+from quire.plans import flows, page, relations, structure, text, upkeep
 
-_ALL = (text.plans, relations.plans, structure.plans, upkeep.plans, flows.plans)
+_ALL = (text.plans, relations.plans, structure.plans, upkeep.plans, flows.plans, page.plans)
 
 
 def queries() -> dict:
