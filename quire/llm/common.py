@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once in a Python worker (a longer document makes a step of its own).
 STEP = 2_000_000
+#: The same for work that is mostly a memory of words, and how many bytes such a memory may hold.
+LONG_STEP, LARGE = 3_000_000, 128_000_000
 
 
 # ---------------------------------------------------------------- shared folder

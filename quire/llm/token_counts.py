@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, coded, pick, plain_runs, ragged, raw, steps, stored, table, tokenizer_file
+from quire.llm.common import LARGE, LONG_STEP, Memo, coded, pick, plain_runs, ragged, raw, steps, stored, table, tokenizer_file
 
 LIMIT = 512
 #: Fixed value: how this family of vocabularies splits text before merging.
@@ -83,7 +83,7 @@ class PrefixCounter:
         self.two = {k: sorted(v, reverse=True) for k, v in by_two.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.memo = Memo(self._chunks, np.int32)
+        self.memo = Memo(self._chunks, np.int32, LARGE)
 
     def stay(self, a: int, b: int) -> bool:
         """Whether tokens a, b, side by side, are what merging their bytes gives: undo both from the inside, latest merge
@@ -300,7 +300,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit:
     def count(batches):
         of = counter(tokenizer)
         for b in batches:
-            for part in steps(b):
+            for part in steps(b, step=LONG_STEP):
                 _, offsets = raw(part.column(1))
                 counts, chars = of(part.column(1))
                 ends = np.concatenate([[0], np.cumsum(chars)])

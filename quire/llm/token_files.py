@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import LOWER, Memo, coded, pick, plain_runs, ragged, raw, runs, shared_path, steps, stored, table, tokenizer_file, width
+from quire.llm.common import LARGE, LONG_STEP, LOWER, Memo, coded, pick, plain_runs, ragged, raw, runs, shared_path, steps, stored, table, tokenizer_file, width
 
 LENGTH, BATCH, END = 2048, 64, 1
 #: Words per call of the library when unseen words are encoded together.
@@ -62,7 +62,7 @@ class Encoder:
             raise ValueError("the vocabulary doesn't mark the ends of words")
         self.closes = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self.closes[[i for t, i in rules["model"]["vocab"].items() if t.endswith(end)]] = True
-        self.memo = Memo(self._words, np.uint32)
+        self.memo = Memo(self._words, np.uint32, LARGE)
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.fromiter((_UNIT.fullmatch(w) is not None for w in words), bool, len(words))
@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, l
         kind = pa.uint16() if max(encode.library.get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else pa.uint32()
         writer, n = None, 0
         for b in batches:
-            for part in steps(b):
+            for part in steps(b, step=LONG_STEP):
                 writer = writer or Writer(folder, context.partitionId(), str(context.taskAttemptId()), kind, length)
                 ids, counts = encode(part.column(1))
                 where = np.cumsum(counts)
