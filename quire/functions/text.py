@@ -36,6 +36,8 @@ LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ"
 REFUSALS = ("无法确定", "不完整", "截断", "片段", "不是一个完整的", "不是完整的")
 #: Before a full stop: abbreviations that end no sentence, when texts are cut for a model.
 SHORT_WORDS = ("al", "eg", "ie", "vs", "fig", "figs", "eq", "no", "cf", "approx", "ref", "refs", "dr", "mr", "mrs", "ms", "prof", "st", "etc", "vol", "sec", "suppl", "ca", "resp")
+#: Numbers in front of headings, and what has to follow them.
+NUMBER, ROMAN, BEFORE = r"^(\d{1,2}(?:\.\d{1,2}){0,3})[.:\)]?\s+", r"^([IVXLC]{1,6})[.:\)]\s+", "(?=[A-Za-z(一-鿿])"
 #: Titles that are none; headings that are none: addresses, a journal's own labels, captions.
 JUNK_TITLES = ("untitled", "title", "document", "no title")
 JUNK_HEADING = r"(?i)^(https?://|www\.|doi:|check for updates$|download|share|cite this article|correspondence|reprints|permissions|article$|review article$|perspective$)|[\w.\-]+@[\w.\-]+\.\w+|^(fig|figure|table|box|scheme|extended data|supplementary)\s*\.?\s*\d|^please cite this article|^this article is protected|^downloaded from|^provided by|^see discussions|^article in press"
@@ -135,8 +137,9 @@ def squeezed(c: Column) -> Column:
 
 
 def heading_key(c: Column) -> Column:
+    """Upper case without a number, arabic or roman, in front (a letter or parenthesis follows it), and without full stops and colons behind."""
     c = F.upper(squeezed(c))
-    c = F.regexp_replace(F.regexp_replace(c, r"^\d+(\.\d+)*\.?\s+", ""), r"^[IVX]+\.\s+", "")
+    c = F.regexp_replace(F.regexp_replace(c, NUMBER + BEFORE, ""), ROMAN + BEFORE, "")
     return F.regexp_replace(c, r"[.:]+$", "")
 
 
@@ -179,7 +182,7 @@ def template(c: Column) -> Column:
 
 def number_level(c: Column) -> Column:
     """1 for "2 Title", 2 for "2.1 Title", 0 without a number."""
-    n = F.regexp_extract(c, r"^(\d+(?:\.\d+)*)\.?\s+[A-Za-z]", 1)
+    n = F.regexp_extract(c, NUMBER + BEFORE, 1)
     return F.when(n == "", 0).when(F.contains(n, F.lit(".")), 2).otherwise(1)
 
 

@@ -45,11 +45,11 @@ def line_number_column(lines: DataFrame, doc: str = "doc_id", page: str = "page"
 
 
 def level(text: Column) -> Column:
-    """Number before vocabulary before capitals; else 2."""
-    key = T.heading_key(text)
+    """A dotted number is 2; words of the body's great parts are 1, as is a plain number, or three letters and more that are all capitals; else 2."""
     number = T.number_level(text)
-    letters = F.regexp_replace(text, "[^A-Za-z]", "")
-    return F.when(number > 0, number).when(key.isin(*START, *BODY, *END), 1).when((F.length(letters) >= 3) & (F.upper(letters) == letters), 1).otherwise(2)
+    letters = F.regexp_replace(text, r"\P{L}", "")
+    capitals = (F.length(letters) >= 3) & ~letters.rlike(r"[^\p{Lu}]")
+    return F.when(number == 2, 2).when((number == 1) | T.heading_key(text).isin(*BODY) | capitals, 1).otherwise(2)
 
 
 def is_end(text: Column, words=END) -> Column:
