@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of the anchor by which a quotation is looked up.
 ANCHOR = 3
+#: Rows that are broadcast at once, at most; more are dealt into blocks of about so many.
+BLOCK = 20_000
 
 
 def _anchor_words(c):
     return F.filter(F.split(c, r"[ \n]"), lambda w: w != "")
 
 
+def _blocks(rows: DataFrame, *keys: str) -> list[DataFrame]:
+    """rows as parts that may be broadcast: their count is taken first."""
+    n = -(-rows.count() // BLOCK)
+    part = F.pmod(F.xxhash64(*keys), F.lit(max(n, 1)))
+    return [rows] if n == 1 else [rows.where(part == i) for i in range(n)]
+
+
 def contains_join(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote", key: str = "doc_id", quote_key: str = "quote_id") -> DataFrame:
     """(key, quote_key) of every text that contains a quotation literally.
 
     A quotation's inner words (its first and last may be cut) stand in the text in the same order, so ``ANCHOR`` of them are an equi-join key; what is found
-    is verified literally. Quotations too short for an anchor are compared with every text; empty ones never match.
+    is verified literally. Quotations too short for an anchor are compared with every text, a counted block of them at a time; empty ones never match.
     """
     words = _anchor_words(F.col(quote))
     q = quotes.select(F.col(quote_key), F.col(quote).alias("_quote")).withColumn("_words", _anchor_words(F.col("_quote"))).where("_quote <> ''")
@@ -30,8 +41,9 @@ def contains_join(texts: DataFrame, quotes: DataFrame, text: str = "text", quote
     candidates = grams.join(long_.select(quote_key, "_anchor"), "_anchor").select(key, quote_key).distinct()
     found = candidates.join(long_.select(quote_key, "_quote"), quote_key).join(t, key).where(F.contains("_text", F.col("_quote"))).select(key, quote_key)
     short = q.where(F.size("_words") < ANCHOR + 2)
-    rest = t.join(short, F.contains(F.col("_text"), F.col("_quote"))).select(key, quote_key)
-    return found.unionByName(rest).distinct()
+    for block in _blocks(short.select(quote_key, "_quote"), quote_key, "_quote"):
+        found = found.unionByName(t.join(F.broadcast(block), F.contains(F.col("_text"), F.col("_quote"))).select(key, quote_key))
+    return found.distinct()
 
 
 def nearest(left: DataFrame, right: DataFrame, words_left: str, words_right: str, key: str, other: str) -> DataFrame:
@@ -60,8 +72,10 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def missing_cells(rows: DataFrame, cols: DataFrame, cells: DataFrame, row: str, col: str) -> DataFrame:
-    """Pairs of a row and a column without a cell: the grid is as large as the result has to be complete."""
-    return rows.select(row).distinct().crossJoin(F.broadcast(cols.select(col).distinct())).join(cells.select(row, col), [row, col], "left_anti")
+    """Pairs of a row and a column without a cell: the grid is as large as the result has to be complete. Columns are counted; they are broadcast in blocks."""
+    r, have = rows.select(row).distinct(), cells.select(row, col)
+    parts = _blocks(cols.select(col).distinct(), col) or [cols.select(col).where("false")]
+    return reduce(DataFrame.unionByName, [r.join(F.broadcast(p)).join(have, [row, col], "left_anti") for p in parts])
 
 
 def ordered(known: DataFrame, wanted: DataFrame, key: str, place: str, want: str) -> DataFrame:

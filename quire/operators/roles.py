@@ -14,6 +14,7 @@ from quire.functions import text as T
 from quire.operators import page as P
 from quire.operators import sections as C
 from quire.operators import sequence as S
+from quire.operators.flows import settled
 
 # The edges of a page, where its number is, a repeated line's length; characters a line of symbols; how much smaller small print is; the shares by
 # which headings are told from prose; how much shorter the rest of a wrapped heading is; lengths of sections; leading and white space where none can be measured.
@@ -28,11 +29,6 @@ def _text() -> Column:
     return F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    """What several branches read is worked out once, in the folder for checkpoints, where the session has one."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows
-
-
 def same_face(a: Column, b: Column) -> Column:
     """Whether two fonts are one apart from weight and slope: what stands before the hyphen of one begins with that of the other; a null or empty ``a`` is like none."""
     x, y = (F.lower(F.split(F.coalesce(c, F.lit("")), "-")[0]) for c in (a, b))
@@ -165,7 +161,7 @@ def sectionize(lines: DataFrame) -> DataFrame:
     Sections under 120 characters go, of equal titles the longest stays, and one under STUB flows into the next. Documents without text give no rows.
     """
     doc = Window.partitionBy("doc_id")
-    roles = _written(font_roles(lines)).select("doc_id", "page", "pos", F.coalesce("text", F.lit("")).alias("text"), "font", "x0", "y0", "x1", "y1", "role", "journal", "leading", "cpl")
+    roles = settled(font_roles(lines)).select("doc_id", "page", "pos", F.coalesce("text", F.lit("")).alias("text"), "font", "x0", "y0", "x1", "y1", "role", "journal", "leading", "cpl")
     blocks = in_body(heading_blocks(roles))
     order = Window.partitionBy("doc_id").orderBy("block")
     kept = blocks.where("part = 'body' and fake is null").withColumn("_next", F.lead("level").over(order)).withColumn("container", F.coalesce((F.col("level") == 1) & (F.col("_next") > 1), F.lit(False)))
@@ -187,7 +183,7 @@ def sectionize(lines: DataFrame) -> DataFrame:
     before_end = F.coalesce(F.col("pos") < F.col("end"), F.lit(True))
     held = F.coalesce(before_end & F.col("role").isin("prose", "symbol") & (F.col("pos") > F.col("_h.last")) & ~F.col("_h.container"), F.lit(False))
     scope = (F.col("role") == "prose") & (F.col("pos") >= F.coalesce("low", F.lit(-1))) & F.coalesce(F.col("pos") < F.coalesce("end", "hard"), F.lit(True))
-    x = _written(x.withColumn("_held", held).withColumn("_cover", F.avg(F.when(scope, F.col("_held").cast("int"))).over(doc)))
+    x = settled(x.withColumn("_held", held).withColumn("_cover", F.avg(F.when(scope, F.col("_held").cast("int"))).over(doc)))
 
     # pages in place of headings
     tail = F.coalesce("hard", "end")
@@ -245,3 +241,15 @@ def sectionize(lines: DataFrame) -> DataFrame:
 def contents(blocks: DataFrame) -> DataFrame:
     """doc_id, block, title, level, page, part of all headings that are none of the false ones: the table of contents and what was left out."""
     return blocks.where("fake is null and part <> 'front'").select("doc_id", "block", "title", "level", "page", "part")
+
+
+def preferred(model: DataFrame, rules: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Sections of documents as a model tells them, else as rules do: the columns that both have, with by (model or rules) and reason (why the model's are not there, of
+    ``failures``: doc_id, reason; the first in order of several)."""
+    shared = [c for c in rules.columns if c in model.columns]
+    none = F.lit(None).cast("string")
+    told = model.select(*shared, F.lit("model").alias("by"), none.alias("reason"))
+    rest = rules.select(*shared).join(model.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("by", F.lit("rules"))
+    if failures is None:
+        return told.unionByName(rest.withColumn("reason", none))
+    return told.unionByName(rest.join(failures.groupBy("doc_id").agg(F.min("reason").alias("reason")), "doc_id", "left"))

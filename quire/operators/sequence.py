@@ -70,10 +70,9 @@ def merged_stubs(items: Column, least: int = 900) -> Column:
     return F.aggregate(items, start, step, lambda a: F.when(a["now"] == "", a["out"]).otherwise(F.array_append(a["out"], a["now"])))
 
 
-def upper_median(values: Column) -> Column:
-    """The element in the middle, the upper one of two."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, name: the element in the middle of each group, the upper one of two; nulls don't count. Values are counted before they are shuffled, so a group is as large as its different values."""
+    return rows.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").alias(name))
 
 
 def argmax(rows: DataFrame, keys: list[str], value: str, *best) -> DataFrame:

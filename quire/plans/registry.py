@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import flows, page, relations, roles, structure, text, upkeep
+from quire.plans import flows, gates, page, relations, roles, structure, text, upkeep
 
-_ALL = (text.plans, relations.plans, structure.plans, upkeep.plans, flows.plans, page.plans, roles.plans)
+_ALL = (text.plans, relations.plans, structure.plans, upkeep.plans, flows.plans, page.plans, roles.plans, gates.plans)
 
 
 def queries() -> dict:

@@ -237,7 +237,7 @@ def _(spark, d):
 
 @plans.add("ag_03_upper_median", "SELECT lang, list_sort(list(length(text)))[len(list(length(text))) // 2 + 1] AS m FROM documents GROUP BY lang")
 def _(spark, d):
-    return load(spark, d, "documents").groupBy("lang").agg(S.upper_median(F.length("text")).cast("long").alias("m"))
+    return S.upper_median(load(spark, d, "documents").select("lang", F.length("text").alias("n")), ["lang"], "n", "m").withColumn("m", F.col("m").cast("long"))
 
 
 @plans.add("ag_06_spans", "SELECT source, min(doc_id) AS lo, max(doc_id) AS hi, sum(length(text)) AS chars FROM documents GROUP BY source")

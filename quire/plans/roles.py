@@ -56,3 +56,12 @@ def _(spark, d):
 @plans.add("sec_06_sectionized")
 def _(spark, d):
     return R.sectionize(_lines(spark, d)).drop("body")
+
+
+@plans.add("sec_07_preferred", """SELECT conv_id AS doc_id, turn AS section, 'model' AS by, NULL AS reason FROM conversations WHERE conv_id % 3 > 0 AND role <> 'user'
+UNION ALL SELECT conv_id, turn, 'rules', CASE WHEN conv_id % 2 = 0 THEN 'no answer' END FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations m WHERE m.conv_id = c.conv_id AND m.conv_id % 3 > 0 AND m.role <> 'user')""")
+def _(spark, d):
+    """A model has told the sections of two documents in three."""
+    c = load(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section"), "role")
+    failed = c.where("doc_id % 2 = 0").select("doc_id", F.lit("no answer").alias("reason"))
+    return R.preferred(c.where("doc_id % 3 > 0 and role <> 'user'").drop("role"), c.drop("role"), failed)
