@@ -73,6 +73,7 @@ def baseline(files: DataFrame, notes: DataFrame, author: str) -> DataFrame:
 
 
 def image_url(content: Column, path: Column | None = None, mime: Column | None = None) -> Column:
-    """An image's bytes as a data address for a model; its type as given, else by its name's extension, else PNG."""
+    """An image's bytes as a data address for a model; its type as given, else by its name's extension, else PNG. One line, whatever its length
+    (``base64`` breaks lines after 76 characters where the session says so)."""
     by_name = F.lit("image/png") if path is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in IMAGES.items() for x in p]), F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))), F.lit("image/png"))
-    return F.concat(F.lit("data:"), by_name if mime is None else F.coalesce(F.nullif(mime, F.lit("")), by_name), F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), by_name if mime is None else F.coalesce(F.nullif(mime, F.lit("")), by_name), F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))

@@ -1,5 +1,6 @@
 """The gate, containers, titles by size: made rows, each with what is wrong with it."""
 
+import base64
 import hashlib
 import json
 
@@ -98,3 +99,10 @@ def test_blocks_of_short_quotes(spark, monkeypatch):
 def test_upper_median(spark):
     rows = spark.createDataFrame([("a", x) for x in (5, 1, 4, 2)] + [("b", 7), ("b", None), ("b", 9), ("b", 9)], "k string, v int")
     assert sorted(map(tuple, S.upper_median(rows, ["k"], "v", "m").collect())) == [("a", 4), ("b", 9)]
+
+
+def test_image_addresses_have_one_line(spark):
+    content = [bytes(range(256)) * 3, b"x" * 57, b"x" * 58, b"", None]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(content)], "i int, c binary").select("i", K.image_url(F.col("c")).alias("u"))
+    expected = {i: None if c is None else "data:image/png;base64," + base64.b64encode(c).decode() for i, c in enumerate(content)}
+    assert {r.i: r.u for r in rows.collect()} == expected
