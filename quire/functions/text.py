@@ -40,6 +40,7 @@ SHORT_WORDS = ("al", "eg", "ie", "vs", "fig", "figs", "eq", "no", "cf", "approx"
 NUMBER, ROMAN, BEFORE = r"^(\d{1,2}(?:\.\d{1,2}){0,3})[.:\)]?\s+", r"^([IVXLC]{1,6})[.:\)]\s+", "(?=[A-Za-z(一-鿿])"
 #: Titles that are none; headings that are none: addresses, a journal's own labels, captions.
 JUNK_TITLES = ("untitled", "title", "document", "no title")
+ADDRESS = r"(?i)^(https?://|www\.)"
 JUNK_HEADING = r"(?i)^(https?://|www\.|doi:|check for updates$|download|share|cite this article|correspondence|reprints|permissions|article$|review article$|perspective$)|[\w.\-]+@[\w.\-]+\.\w+|^(fig|figure|table|box|scheme|extended data|supplementary)\s*\.?\s*\d|^please cite this article|^this article is protected|^downloaded from|^provided by|^see discussions|^article in press"
 TYPES = {"pdf": "application/pdf", "json": "application/json", "html": "text/html", "css": "text/css", "js": "text/javascript", "png": "image/png"}
 
@@ -195,8 +196,16 @@ def junk_title(c: Column) -> Column:
     return (F.length(t) < 8) | F.lower(t).endswith(".pdf") | t.rlike(r"^[\d\W_]+$") | F.lower(t).isin(*JUNK_TITLES) | (F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]{2,}"), F.lit(0))) < 2)
 
 
+#: Case is that of all letters (a long s is an s), and $ comes before a last line feed alone.
+_ANY_CASE = "(?ud)"
+
+
+def address(c: Column) -> Column:
+    return c.rlike(_ANY_CASE + ADDRESS)
+
+
 def junk_heading(c: Column) -> Column:
-    return c.rlike(JUNK_HEADING)
+    return c.rlike(_ANY_CASE + JUNK_HEADING)
 
 
 def refused(a: Column, b: Column) -> Column:
