@@ -28,6 +28,7 @@ DEPTH, KINDS, NEW, LEAST, Z, A, REJECT = 6, 20, 0.5, 5, 1.96, 4.0, 0.8
 #: The quantile of the normal distribution at which the chi-square test (after Wilson and Hilferty) calls branches different: 0.99.
 CHI = 2.326
 INHERIT = 0.5
+COUNTS = ("n", "labelled", "blocked")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,48 +79,57 @@ def purities(tree: DataFrame, base_share: float) -> DataFrame:
     branches = (
         tree.select("host", "n", "labelled", "blocked", "nodes", "pieces", F.explode(F.sequence(F.lit(1), F.size("nodes"))).alias("at"))
         .select("host", at.alias("level"), F.when(at > 1, F.get("nodes", at - 2)).otherwise("").alias("parent"), F.get("nodes", at - 1).alias("node"), following.alias("shape"), "n", "labelled", "blocked")
-        .groupBy("host", "level", "parent", "node", "shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        .groupBy("host", "level", "parent", "node", "shape").agg(*(F.sum(c).alias(c) for c in COUNTS))
     )
-    # the shape that follows most in a branch (of equals the first)
-    mode = branches.groupBy("host", "level", "node").agg(F.min(F.struct(-F.col("n"), "shape"))["shape"].alias("mode"))
-    branches = stored(branches.join(mode, ["host", "level", "node"]), "branches")
-    smooth = lambda expected: (F.col("blocked") + A * expected) / (F.col("labelled") + A)
+    # the shape that follows most in a branch (of equals the first), and the branch's own counts
+    whole = branches.groupBy("host", "level", "node").agg(F.min(F.struct(-F.col("n"), "shape"))["shape"].alias("mode"), *(F.sum(c).alias(f"all_{c}") for c in COUNTS))
+    branches = stored(branches.join(whole, ["host", "level", "node"]), "branches")
     roots = branches.where("level = 1").groupBy("host").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     # one: the branch that a branch is part of
-    found = above = roots.select("host", F.lit(0).alias("level"), F.lit("").alias("node"), F.lit("").alias("one"), smooth(F.lit(base_share)).alias("purity"))
+    found = above = roots.select("host", F.lit(0).alias("level"), F.lit("").alias("node"), F.lit("").alias("one"), _smooth(F.lit(base_share)).alias("purity"))
     for level in range(1, (branches.agg(F.max("level")).first()[0] or 0) + 1):
         upper = above.select("host", F.col("node").alias("parent"), F.col("one").alias("under"), (base_share + INHERIT * (F.col("purity") - base_share)).alias("expected"))
-        above = stored(_merged(branches.where(F.col("level") == level).join(upper, ["host", "parent"]), smooth), "branch-purities")
+        above = _merged(branches.where(F.col("level") == level).join(upper, ["host", "parent"]))
         found = found.unionByName(above)
     return found
 
 
-def _merged(branches: DataFrame, smooth) -> DataFrame:
-    """The branches of a level with one and purity."""
+def _smooth(expected: Column) -> Column:
+    return (F.col("blocked") + A * expected) / (F.col("labelled") + A)
+
+
+def _merged(branches: DataFrame) -> DataFrame:
+    """The branches of a level with one and purity. What is used more than once is stored, so that no plan holds another twice: the driver's memory goes with the size of plans."""
     family = ["host", "under", "mode"]
+    branches = stored(branches, "level")
     # how what follows is distributed in all of a family
     pool = branches.groupBy(*family, "shape").agg(F.sum("n").alias("pool"))
     whole = pool.groupBy(*family).agg(F.sum("pool").alias("whole"), (F.count(F.lit(1)) - 1).alias("free"))
-    nodes = branches.groupBy(*family, "level", "node").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")), F.first("expected").alias("expected"))
     squares = (
-        branches.select(*family, "node", "shape", F.col("n").alias("seen")).join(pool, [*family, "shape"]).join(whole, family).join(nodes.select(*family, "node", "n"), [*family, "node"])
-        .groupBy(*family, "node").agg(F.sum(F.col("seen") * F.col("seen") * F.col("whole") / (F.col("n") * F.col("pool"))).alias("squares"), F.first("free").alias("free"))
+        branches.join(pool, [*family, "shape"]).join(whole, family)
+        .groupBy(*family, "level", "node").agg(
+            F.sum(F.col("n") * F.col("n") * F.col("whole") / (F.col("all_n") * F.col("pool"))).alias("squares"),
+            *(F.first(f"all_{c}").alias(c) for c in COUNTS), F.first("expected").alias("expected"), F.first("free").alias("free"),
+        )
     )
     f = 2.0 / (9.0 * F.col("free"))
     most = F.when(F.col("free") > 0, F.col("free") * F.pow(1 - f + CHI * F.sqrt(f), 3)).otherwise(0.0)
-    alike = nodes.join(squares, [*family, "node"]).withColumn("alike", F.col("squares") - F.col("n") <= most + 1e-9)
+    alike = stored(squares.select(*family, "level", "node", "labelled", "blocked", "expected", (F.col("squares") - F.col("n") <= most + 1e-9).alias("alike")), "alike")
     known = F.col("alike") & (F.col("labelled") >= LEAST)
     told = alike.groupBy(*family).agg(F.sum(F.when(known, F.col("labelled"))).alias("all_labelled"), F.sum(F.when(known, F.col("blocked"))).alias("all_blocked"))
     share, together = F.col("blocked") / F.col("labelled"), F.col("all_blocked") / F.col("all_labelled")
     error = F.sqrt(together * (1 - together) * (1 / F.col("labelled") + 1 / F.col("all_labelled")))
     merged = F.col("alike") & ((F.col("labelled") < LEAST) | (F.abs(share - together) <= Z * error + 1e-12))
-    marked = alike.join(told, family).select(*family, "level", "node", "labelled", "blocked", "expected", merged.alias("merged"))
+    marked = stored(alike.join(told, family).select(*family, "level", "node", "labelled", "blocked", "expected", merged.alias("merged")), "marked")
+    dropped(branches), dropped(alike)
     sums = marked.where("merged").groupBy(*family).agg(F.sum("labelled").alias("m_labelled"), F.sum("blocked").alias("m_blocked"))
     own = lambda c: F.when(F.col("merged"), F.col(f"m_{c}")).otherwise(F.col(c)).alias(c)
     counts = marked.join(sums, family, "left").select(
         "host", "level", "node", F.when(F.col("merged"), F.concat("under", F.lit("/<"), "mode", F.lit(">"))).otherwise(F.col("node")).alias("one"), own("labelled"), own("blocked"), "expected",
     )
-    return counts.select("host", "level", "node", "one", smooth(F.col("expected")).alias("purity"))
+    out = stored(counts.select("host", "level", "node", "one", _smooth(F.col("expected")).alias("purity")), "branch-purities")
+    dropped(marked)
+    return out
 
 
 def judged(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:

@@ -302,3 +302,17 @@ def test_hot_keys_of_shards(spark):
         by_slot = g.sort_values("slot")
         assert by_slot.slot.tolist() == list(range(len(g)))
         assert [(-1 if d != d or d is None else d, c, s) for d, c, s in zip(by_slot.doc_id, by_slot.text_crc32, by_slot["size"], strict=True)] == order
+
+
+def test_url_plans_stay_small(spark, tmp_path, monkeypatch):
+    """No plan holds another twice: the driver's memory goes with the size of plans."""
+    rows = [(i, f"http://h{i % 3}.example.com/{'de' if i % 2 else 'fr'}/{i % 5}/{i}/x") for i in range(200)]
+    joins, keep = [], url_templates.stored
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return keep(df, name)
+
+    monkeypatch.setattr(url_templates, "stored", counted)
+    assert url_templates.judged(spark.createDataFrame(rows, "page_id long, url string")).count() == 200
+    assert max(joins) <= 4
