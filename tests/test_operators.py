@@ -209,3 +209,18 @@ def test_headings_that_are_no_addresses(spark, tmp_path):
         frame = registry.queries()[name](spark, str(tmp_path))
         assert {r.page_id for r in frame.collect()} == kept
         assert oracle.differences(frame, con, registry.oracle_sql()[name]) == ""
+
+
+def test_similarity_of_copies(spark):
+    """Copies are named, not paired: the cosines are those of all pairs."""
+    texts = ["red bolt", "red bolt", "Red Bolt", "blue bolt", "red bolt", "", "", " ", "ring", "blue bolt", None]
+    nodes = spark.createDataFrame([("v", i, t) for i, t in enumerate(texts)] + [("w", i, "red bolt") for i in range(40)] + [(None, 1, "x"), (None, 2, "x")], "view string, node int, text string").select("view", "node", L.node_text(F.col("text")).alias("text"))
+    every = {(r.view, r.a, r.b): round(r.cosine, 9) for r in L.similarity(L.tfidf(nodes, "view", "node"), "view", "node").collect()}
+    got = L.text_similarity(nodes, "view", "node").collect()
+    assert {(r.view, r.a, r.b) for r in got if r.copy} == {("v", 0, 1), ("v", 0, 4), ("v", 3, 9)} | {("w", 0, i) for i in range(1, 40)}
+    first = {(v, n): n for v, k in (("v", len(texts)), ("w", 40)) for n in range(k)} | {(r.view, r.b): r.a for r in got if r.copy}
+    pairs = {(r.view, r.a, r.b): round(r.cosine, 9) for r in got if not r.copy}
+    assert set(pairs) == {("v", 0, 2), ("v", 0, 3), ("v", 2, 3)}
+    for (v, a, b), c in every.items():
+        x, y = sorted((first[v, a], first[v, b]))
+        assert c == pytest.approx(1.0 if x == y else pairs[v, x, y], abs=1e-8)
