@@ -220,7 +220,36 @@ def test_similarity_of_copies(spark):
     assert {(r.view, r.a, r.b) for r in got if r.copy} == {("v", 0, 1), ("v", 0, 4), ("v", 3, 9)} | {("w", 0, i) for i in range(1, 40)}
     first = {(v, n): n for v, k in (("v", len(texts)), ("w", 40)) for n in range(k)} | {(r.view, r.b): r.a for r in got if r.copy}
     pairs = {(r.view, r.a, r.b): round(r.cosine, 9) for r in got if not r.copy}
-    assert set(pairs) == {("v", 0, 2), ("v", 0, 3), ("v", 2, 3)}
+    assert set(pairs) == {("v", 0, 2), ("v", 0, 3), ("v", 2, 3), ("v", 0, 8), ("v", 2, 8)}
     for (v, a, b), c in every.items():
         x, y = sorted((first[v, a], first[v, b]))
         assert c == pytest.approx(1.0 if x == y else pairs[v, x, y], abs=1e-8)
+
+
+def test_layout_of_classes(spark):
+    """Every node is drawn, from distances of classes; the drawing is that of all pairs, and its starts are tasks."""
+    kinds = [0, 1, 0, 2, 1, 0, 3]
+    m = np.array([[0.45, 0.7, 0.8, 1.0], [0.7, 0.45, 0.9, 1.0], [0.8, 0.9, 0.45, 0.6], [1.0, 1.0, 0.6, 1.0]])
+    d = m[np.ix_(kinds, kinds)] * (1 - np.eye(len(kinds)))
+    nodes = spark.createDataFrame([("v", 10 + i, 100 + k) for i, k in enumerate(kinds)] + [("w", 1, 1), ("w", 2, 2)], "view string, node int, kind int")
+    pairs = spark.createDataFrame([("v", 100 + a, 100 + b, float(m[a, b])) for a in range(4) for b in range(a, 4) if m[a, b] < 1], "view string, a int, b int, distance double")
+    frame = L.placed(nodes, pairs, "view", "node", kind="kind")
+    plain = spark.createDataFrame([("v", 10 + a, 10 + b, float(d[a, b])) for a in range(7) for b in range(a + 1, 7)], "view string, a int, b int, distance double")
+    xy, _ = L.smacof(d)
+    want = ((xy - xy.min(axis=0)) / (xy.max(axis=0) - xy.min(axis=0)) * [1500.0, 1000.0]).round(1)
+    for f in (frame, L.placed(nodes, plain, "view", "node")):
+        got = {(r.view, r.node): (r.x, r.y) for r in f.collect()}
+        assert set(got) == {("v", 10 + i) for i in range(7)}
+        assert np.allclose([got["v", 10 + i] for i in range(7)], want, atol=0.11)
+
+
+def test_scaling_by_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    p, kind = rng.normal(size=(9, 3)), rng.integers(0, 9, 70)
+    m, x = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) + 0.3, rng.normal(size=(70, 2))
+    whole, stress = L.descended(m, kind, x)
+    monkeypatch.setattr(L, "BLOCK", 500)
+    for held in (3000, 10):
+        monkeypatch.setattr(L, "HELD", held)
+        xy, s = L.descended(m, kind, x)
+        assert s == pytest.approx(stress, rel=1e-6) and np.allclose(xy, whole, atol=1e-4)
