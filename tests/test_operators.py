@@ -253,3 +253,29 @@ def test_scaling_by_blocks(monkeypatch):
         monkeypatch.setattr(L, "HELD", held)
         xy, s = L.descended(m, kind, x)
         assert s == pytest.approx(stress, rel=1e-6) and np.allclose(xy, whole, atol=1e-4)
+
+
+def test_scaling_looks_up_kinds(monkeypatch):
+    """Many points of few kinds: what is wanted of them is looked up by kinds, not by pairs; rounds are those of the formula, also where points begin at one place."""
+    class Counted(np.ndarray):
+        looked = 0
+
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            Counted.looked += np.size(got)
+            return np.asarray(got)
+
+    rng, n, rounds = np.random.default_rng(4), 400, 4
+    m = np.array([[0.45, 0.7, 0.8, 1.0], [0.7, 0.45, 0.9, 1.0], [0.8, 0.9, 0.45, 0.6], [1.0, 1.0, 0.6, 0.45]])
+    kind, x = rng.integers(0, 4, n), rng.normal(size=(n, 2))
+    x[7] = x[8] = x[9]
+    monkeypatch.setattr(L, "BLOCK", 512)
+    monkeypatch.setattr(L, "HELD", 10)
+    xy, stress = L.descended(m.view(Counted), kind, x, rounds)
+    assert Counted.looked < rounds * n * n / 4
+    d = m[np.ix_(kind, kind)] * (1 - np.eye(n))
+    for _ in range(rounds):
+        r = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        t = np.divide(d, r, out=np.zeros_like(d), where=r > 1e-12)
+        x, want = (t.sum(axis=1)[:, None] * x - t @ x) / n, ((r - d) ** 2).sum() / 2
+    assert stress == pytest.approx(want, rel=1e-10) and np.allclose(xy, x, atol=1e-12)
